@@ -7,9 +7,9 @@ the weighted Jaccard similarity.  Darts are thrown cell by cell of time, only un
 hit, so the work per text is its length plus a constant; texts that leave coordinates open throw on.
 
 Equal word sequences are one node.  Bands of a signature are buckets.  In each bucket all nodes are compared with one
-hub, which settles groups of near copies in as many comparisons as members.  Only where a bucket still holds nodes of
-several components are the nodes outside its largest component compared with all others, so no link that banding
-proposes is lost.  Comparisons are exact: Jaccard similarity of the two shingle sets of the whole texts.
+hub, which settles groups of near copies in as many comparisons as members; those left outside a bucket's largest
+component meet a few more hubs of it.  Only where a bucket still holds nodes of several components are the nodes outside
+its largest one compared with all others, so no link that banding proposes is lost.  Comparisons are exact: Jaccard similarity of the two shingle sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .flat import Words, mix64
 _U = np.uint64
 #: 32 bands of 6: a pair of similarity 0.8 shares none with probability 6e-5, one of 0.9 with 3e-11.
 ROWS, BANDS, SHINGLE, SIMILAR = 6, 32, 5, 0.8
+#: Further hubs that nodes outside a bucket's largest component are compared with.
+HUB_TURNS = 2
 _CELLS = np.concatenate([[0, 1 / 16, 1 / 8, 1 / 4, 1 / 2], np.arange(1.0, 4097.0)])
 
 
@@ -175,6 +177,18 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, node, comp, top (the largest component) of the buckets whose nodes are in several components."""
+    placed = written(bucket.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("top")).where("k > 1")
+    return written(placed.join(written(mixed.select("key", F.col("top.comp").alias("top")), "mixed"), "key"), "inside")
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """node, comp for the nodes of `rows` (from `signed`) that are linked with others; `_digest` for all nodes.
 
@@ -184,25 +198,35 @@ def classes(rows: DataFrame) -> DataFrame:
     nodes = written(rows.groupBy("_digest").agg(first.alias("f")).select("_digest", F.col("f.n").alias("node"), F.col("f.d").alias("first_id")), "nodes")
     bands = rows.join(nodes.select(F.col("node").alias("_node")), "_node", "left_semi").select(F.col("_node").alias("node"), F.explode("_bands").alias("key"))
     bands = written(bands, "bands")
-    hubs = written(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "hubs")
+    # Each bucket has its own hub (the smallest hash of node and key), so members of a large group meet many hubs.
+    hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("hub"), F.count("*").alias("n"))
+    hubs = written(hubs.where("n > 1").select("key", F.col("hub.node").alias("hub")), "hubs")
     bucket = written(bands.join(hubs, "key").select("key", "hub", "node"), "buckets")
-    tried = written(bucket.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    texts = rows.select("_node", "text")
+    texts = rows.select("_node", "text").join(bucket.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi")
+    texts = written(texts, "texts")
+    tried = written(_ordered(bucket.where("node <> hub"), "hub", "node").distinct(), "pairs")
     links = written(similar_pairs(tried, texts), "links")
     comp = components(links)
-    # Buckets whose nodes are in several components: those outside the largest against all others.
-    placed = bucket.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    placed = written(placed, "placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("top")).where("k > 1")
-    mixed = written(mixed.select("key", F.col("top.comp").alias("top")), "mixed")
-    inside = written(placed.join(mixed, "key"), "inside")
-    some = inside.where("comp <> top").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    cross = some.join(inside.select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(similar_pairs(written(cross, "cross"), texts), "links")
-    if more.limit(1).count():
-        comp = components(links.union(more))
+    for turn in range(HUB_TURNS + 1):
+        inside = _mixed(bucket, comp)
+        outer = inside.where("comp <> top")
+        if outer.limit(1).count() == 0:
+            break
+        if turn < HUB_TURNS:
+            # Nodes outside a bucket's largest component against one node of it, another one each turn.
+            draw = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node"))
+            other = written(inside.where("comp = top").groupBy("key").agg(draw.alias("hub")).select("key", F.col("hub.node").alias("y")), "hubs")
+            cross = outer.select("key", F.col("node").alias("x")).join(other, "key")
+        else:
+            # And where that leaves several components, against all nodes of the others.
+            some = outer.select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
+            cross = some.join(inside.select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
+        fresh = written(_ordered(cross, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = written(similar_pairs(fresh, texts), "links")
+        tried = tried.union(fresh)
+        if more.limit(1).count():
+            links = links.union(more)
+            comp = components(links)
     return nodes.join(comp, "node", "left").select("_digest", "node", "first_id", F.coalesce("comp", "node").alias("comp"))
 
 
