@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step looks at; whole texts, so one longer text makes a longer step.
@@ -49,7 +50,7 @@ def steps(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = S
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = sizes.astype("int64").cumsum()
         start = 0
         while start < batch.num_rows:
