@@ -40,7 +40,7 @@ def _rotated(vectors: list, centre: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return x @ turn[:, : x.shape[1]].T
 
 
-def index(vectors: DataFrame, k: int, bits: int = 256, seed: int = 11, sample: int = 4096) -> tuple[DataFrame, Callable]:
+def index(vectors: DataFrame, k: int, bits: int = 512, seed: int = 11, sample: int = 4096) -> tuple[DataFrame, Callable]:
     """One row for each distinct usable vector: group, ids (its smallest k + 1), vector, code, norm, fit.
 
     The centre, the mean of at most `sample` vectors (the smallest hashes), is all that is fitted; every row is indexed.
@@ -73,7 +73,7 @@ def index(vectors: DataFrame, k: int, bits: int = 256, seed: int = 11, sample: i
     return written(coded, "codes"), shared
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 256, seed: int = 11, sure: float = 1.9, code_block: int = 16384, query_block: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 512, seed: int = 11, sure: float = 1.9, code_block: int = 32768, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors (Euclidean) of every query, its own row apart.
 
     Ties go to the smaller vec_id; a query has all candidates if there are fewer than k.  Vectors that are null, empty,
@@ -89,36 +89,40 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 256,
     bits = max(bits, len(shared.value[0]))
 
     left = codes.select("group", "code", "norm", "fit", F.pmod(F.xxhash64("group"), F.lit(down)).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_q"))
-    right = asked.select("query_id", "asked", F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("_c"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "group": np.empty(0, np.int64), "low": np.empty(0), "high": np.empty(0)})
-        b = b[[len(x) == len(shared.value[0]) for x in b["asked"]]] if len(b) else b
-        if not len(a) or not len(b):
-            return empty
-        sign = np.unpackbits(np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1), axis=1)[:, :bits].astype(np.float32) * 2 - 1
-        norm, fit, groups = a["norm"].to_numpy(), a["fit"].to_numpy(), a["group"].to_numpy()
-        width = 2 * norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * sure / np.sqrt(bits - 1 or 1)
-        out = []
-        for s in range(0, len(b), 128):
-            part = b.iloc[s : s + 128]
-            y = _rotated(part["asked"].to_list(), *shared.value)
-            length = np.linalg.norm(y, axis=1).astype(float)
-            inner = (y @ sign.T).astype(float) / np.sqrt(bits) / fit * norm
-            square = norm**2 + length[:, None] ** 2 - 2 * inner
-            error = width * length[:, None] + 1e-4 * (norm + length[:, None]) ** 2  # and single precision
-            high = square + error
-            best = np.partition(high, k, axis=1)[:, k : k + 1] if len(a) > k + 1 else np.full((len(part), 1), np.inf)
-            q, g = np.nonzero(square - error <= best)
-            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "group": groups[g], "low": (square - error)[q, g], "high": high[q, g]}))
-        return pd.concat(out)
-
-    met = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(meet, "query_id long, group long, low double, high double")
-    met = written(met, "candidates")
+
+    def meet(right: DataFrame, last: bool) -> DataFrame:
+        """query_id, group, high: each block's k + 1 smallest upper bounds of each query, or (`last`) all rows whose
+        lower bound is at most the query's `_most`."""
+
+        def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            b = b[[len(x) == len(shared.value[0]) for x in b["asked"]]] if len(b) else b
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query_id": np.empty(0, np.int64), "group": np.empty(0, np.int64), "high": np.empty(0)})
+            sign = np.unpackbits(np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1), axis=1)[:, :bits].astype(np.float32) * 2 - 1
+            norm, fit, groups = a["norm"].to_numpy(), a["fit"].to_numpy(), a["group"].to_numpy()
+            width = 2 * norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * sure / np.sqrt(bits - 1 or 1)
+            out = []
+            for s in range(0, len(b), 64):
+                part = b.iloc[s : s + 64]
+                y = _rotated(part["asked"].to_list(), *shared.value)
+                length = np.linalg.norm(y, axis=1).astype(float)
+                square = norm**2 + length[:, None] ** 2 - (y @ sign.T) * (2 / np.sqrt(bits) / fit * norm)
+                error = width * length[:, None] + 1e-4 * (norm + length[:, None]) ** 2  # and single precision
+                if last:
+                    q, g = np.nonzero(square - error <= part["_most"].to_numpy()[:, None])
+                else:
+                    best = np.argpartition(square + error, k, axis=1)[:, : k + 1] if len(a) > k + 1 else np.tile(np.arange(len(a)), (len(part), 1))
+                    q, g = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
+                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "group": groups[g], "high": (square + error)[q, g]}))
+            return pd.concat(out)
+
+        dealt = right.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(across))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+        return left.groupBy("_q", "_c").cogroup(dealt.groupBy("_q", "_c")).applyInPandas(block, "query_id long, group long, high double")
+
     # The (k + 1)-th smallest upper bound of all blocks; a query's own row may be one of the k + 1.
-    bound = met.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("high"))).where(F.col("_r") <= k + 1)
-    bound = bound.groupBy("query_id").agg(F.when(F.count("*") > k, F.max("high")).alias("_most"))
-    near = met.join(bound, "query_id").where("_most is null or low <= _most").select("query_id", "group")
+    bound = meet(asked, last=False).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("high"))).where(F.col("_r") <= k + 1)
+    bound = bound.groupBy("query_id").agg(F.when(F.count("*") > k, F.max("high")).otherwise(float("inf")).alias("_most"))
+    near = meet(written(asked.join(bound, "query_id"), "bounds"), last=True).select("query_id", "group")
     pairs = near.join(asked, "query_id").join(codes.select("group", "ids", "vector"), "group")
     score = F.sqrt(F.aggregate(F.zip_with("asked", "vector", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     pairs = pairs.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
