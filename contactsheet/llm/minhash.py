@@ -27,8 +27,8 @@ from .common import on_workers, steps, table, written
 from .flat import Words, mix64
 
 _U = np.uint64
-#: 32 bands of 6: a pair of similarity 0.8 shares none with probability 6e-5, one of 0.9 with 3e-11.
-ROWS, BANDS, SHINGLE, SIMILAR = 6, 32, 5, 0.8
+#: 56 bands of 8: a pair of similarity 0.8 shares none with probability 3e-5, one of 0.9 with 3e-14; of 0.3 one with 4e-3.
+ROWS, BANDS, SHINGLE, SIMILAR = 8, 56, 5, 0.8
 #: Further hubs that nodes outside a bucket's largest component are compared with.
 HUB_TURNS = 2
 _CELLS = np.concatenate([[0, 1 / 16, 1 / 8, 1 / 4, 1 / 2], np.arange(1.0, 4097.0)])
