@@ -8,8 +8,10 @@ hit, so the work per text is its length plus a constant; texts that leave coordi
 
 Equal word sequences are one node.  Bands of a signature are buckets.  In each bucket all nodes are compared with one
 hub, which settles groups of near copies in as many comparisons as members; those left outside a bucket's largest
-component meet a few more hubs of it.  Only where a bucket still holds nodes of several components are the nodes outside
-its largest one compared with all others, so no link that banding proposes is lost.  Comparisons are exact: Jaccard similarity of the two shingle sets of the whole texts.
+component meet a few more hubs of it.  Where a bucket still holds nodes of several components, the nodes outside its
+largest one meet all others: in buckets of at most `DIRECT` nodes one by one, in larger ones by an exact prefix filter
+(two sets of that similarity share one of their rarest shingles), so no link that banding proposes is lost.
+Comparisons are exact: Jaccard similarity of the two shingle sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ _U = np.uint64
 ROWS, BANDS, SHINGLE, SIMILAR = 8, 56, 5, 0.8
 #: Further hubs that nodes outside a bucket's largest component are compared with.
 HUB_TURNS = 2
+#: Nodes of a bucket up to which those outside its largest component are compared with all others directly.
+DIRECT = 32
+#: Ratio of neighbouring classes of set sizes in the prefix filter.
+SIZE_STEP = 1.03
 _CELLS = np.concatenate([[0, 1 / 16, 1 / 8, 1 / 4, 1 / 2], np.arange(1.0, 4097.0)])
 
 
@@ -157,6 +163,40 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float = SIMILAR) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """a, b (a < b): of `probe` x `index` (node, comp) a superset of the pairs of two components with that similarity.
+
+    Shingles are ordered by the number of nodes of `index` that hold them, rarest first.  If sets of sizes n and m have
+    similarity s, at least s / (1 + s) * (n + m) shingles are common, so the first common one is no later in either
+    order than its size less that number.  Sizes fall into classes a few percent wide, and each node offers to each
+    class only its shingles up to that place; nodes of one common source with many own shingles don't meet.
+    `probe` must be part of `index`.
+    """
+    texts = rows.select(F.col("_node").alias("node"), "text").join(index.select("node"), "node", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, most=1 << 20):
+            got, bounds = shingles(Words(batch.column("text")))
+            sets = [np.unique(got[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            owner = np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["node", "token"])
+
+    tokens = written(texts.mapInArrow(run, "node long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    size, step = F.size("t"), float(np.log(SIZE_STEP))
+    cls = lambda x: F.floor(F.log(x) / step + 1e-9)
+    other = F.explode(F.sequence(cls(size * least) - 1, cls(size / least) + 1))
+    offers = ranked.select("node", F.col("t.token").alias("t"), cls(size).alias("own"), other.alias("other"))
+    smallest = F.exp(F.col("other") * step) * (1 - 1e-6)
+    upto = F.floor(size - least / (1 + least) * (size + smallest) + 1e-6).cast("int") + 1
+    offers = offers.withColumn("upto", upto).where("upto > 0").select("node", "own", "other", F.explode(F.slice("t", 1, F.col("upto"))).alias("token"))
+    offers = written(offers.join(index, "node"), "offers")
+    asked = offers.join(probe.select("node"), "node", "left_semi").select(F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("own").alias("other"), F.col("other").alias("own"), "token")
+    met = asked.join(offers, ["token", "own", "other"]).where("cx <> comp")
+    return _ordered(met, "x", "node").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node that it is linked with) of every node in `edges` (a, b).
 
@@ -182,11 +222,11 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
-    """key, node, comp, top (the largest component) of the buckets whose nodes are in several components."""
+    """key, node, comp, top (the largest component), size of the buckets whose nodes are in several components."""
     placed = written(bucket.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("top")).where("k > 1")
-    return written(placed.join(written(mixed.select("key", F.col("top.comp").alias("top")), "mixed"), "key"), "inside")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top")).where("k > 1")
+    return written(placed.join(written(mixed.select("key", F.col("top.comp").alias("top"), "size"), "mixed"), "key"), "inside")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -219,9 +259,14 @@ def classes(rows: DataFrame) -> DataFrame:
             cross = outer.select("key", F.col("node").alias("x")).join(other, "key")
         else:
             # And where that leaves several components, against all nodes of the others.
-            some = outer.select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-            cross = some.join(inside.select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
-        fresh = written(_ordered(cross, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            small, large = F.col("size") <= DIRECT, F.col("size") > DIRECT
+            some = outer.where(small).select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
+            cross = some.join(inside.where(small).select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
+        cross = _ordered(cross, "x", "y")
+        if turn == HUB_TURNS:
+            probe, index = (written(x.where(large).select("node", "comp").distinct(), "large") for x in (outer, inside))
+            cross = cross.union(prefix_pairs(probe, index, texts))
+        fresh = written(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = written(similar_pairs(fresh, texts), "links")
         tried = tried.union(fresh)
         if more.limit(1).count():

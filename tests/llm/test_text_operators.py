@@ -178,6 +178,36 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == frame(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(cases))}
 
 
+def test_prefix_filter_keeps_every_similar_pair(spark):
+    rng = random.Random(12)
+    cases = ["one two", "one two three four five six"]
+    for size in (12, 60, 150, 151, 155, 400):
+        base = prose(rng, size, 10**6).split()
+        for edits in [*range(12)] * 2:
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
+            cases.append(" ".join(own + prose(rng, rng.randrange(9), 10**6).split()))
+    got, bounds = minhash.shingles(minhash.Words(pa.array(cases)))
+    sets = [set(got[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    comp = [rng.randrange(60) for _ in cases]
+    rows = spark.createDataFrame(list(enumerate(cases)), "_node long, text string")
+    index = spark.createDataFrame(list(enumerate(comp)), "node long, comp long")
+    some = [i for i in range(len(cases)) if rng.random() < 0.7]
+    pairs = minhash.prefix_pairs(index.where(F.col("node").isin(some)), index, rows)
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    want = {(j, i) for i in range(len(cases)) for j in range(i) if comp[i] != comp[j] and {i, j} & set(some) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want and want <= found and all(comp[a] != comp[b] for a, b in found)
+    assert len(found) < len(cases) ** 2 / 20
+
+
+@pytest.mark.parametrize("direct", [0, 1000])
+def test_near_duplicates_with_small_and_large_buckets(spark, monkeypatch, direct):
+    monkeypatch.setattr(minhash, "DIRECT", direct)
+    monkeypatch.setattr(minhash, "HUB_TURNS", 0)
+    test_near_duplicates_equal_brute_force(spark)
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(0)
     base = [prose(rng, 300, 5000) for _ in range(60)]
