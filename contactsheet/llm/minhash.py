@@ -184,15 +184,18 @@ def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: flo
     tokens = written(texts.mapInArrow(run, "node long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    # What is known of a node joins its one row here, before its shingles become rows.
+    roles = index.join(probe.select("node", F.lit(True).alias("asks")), "node", "left").groupBy("node", "comp").agg(F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
+    ranked = ranked.join(roles, "node")
     size, step = F.size("t"), float(np.log(SIZE_STEP))
     cls = lambda x: F.floor(F.log(x) / step + 1e-9)
     other = F.explode(F.sequence(cls(size * least) - 1, cls(size / least) + 1))
-    offers = ranked.select("node", F.col("t.token").alias("t"), cls(size).alias("own"), other.alias("other"))
+    offers = ranked.select("node", "comp", "asks", F.col("t.token").alias("t"), cls(size).alias("own"), other.alias("other"))
     smallest = F.exp(F.col("other") * step) * (1 - 1e-6)
     upto = F.floor(size - least / (1 + least) * (size + smallest) + 1e-6).cast("int") + 1
-    offers = offers.withColumn("upto", upto).where("upto > 0").select("node", "own", "other", F.explode(F.slice("t", 1, F.col("upto"))).alias("token"))
-    offers = written(offers.join(index, "node"), "offers")
-    asked = offers.join(probe.select("node"), "node", "left_semi").select(F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("own").alias("other"), F.col("other").alias("own"), "token")
+    offers = offers.withColumn("upto", upto).where("upto > 0").select("node", "comp", "asks", "own", "other", F.explode(F.slice("t", 1, F.col("upto"))).alias("token"))
+    offers = written(offers, "offers")
+    asked = offers.where("asks").select(F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("own").alias("other"), F.col("other").alias("own"), "token")
     met = asked.join(offers, ["token", "own", "other"]).where("cx <> comp")
     return _ordered(met, "x", "node").distinct()
 
