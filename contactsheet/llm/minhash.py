@@ -7,8 +7,8 @@ the weighted Jaccard similarity.  Darts are thrown cell by cell of time, only un
 hit, so the work per text is its length plus a constant; texts that leave coordinates open throw on.
 
 Equal word sequences are one node.  Bands of a signature are buckets.  In each bucket all nodes are compared with one
-hub, which settles groups of near copies in as many comparisons as members; those left outside a bucket's largest
-component meet a few more hubs of it.  Where a bucket still holds nodes of several components, the nodes outside its
+hub, the node of the smallest hash, so a group of near copies has few hubs in all its buckets and is settled in little
+more comparisons than members; those left outside a bucket's largest component meet a few more hubs of it.  Where a bucket still holds nodes of several components, the nodes outside its
 largest one meet all others: in buckets of at most `DIRECT` nodes one by one, in larger ones by an exact prefix filter
 (two sets of that similarity share one of their rarest shingles), so no link that banding proposes is lost.
 Comparisons are exact: Jaccard similarity of the two shingle sets of the whole texts.
@@ -35,6 +35,8 @@ ROWS, BANDS, SHINGLE, SIMILAR = 8, 56, 5, 0.8
 HUB_TURNS = 2
 #: Nodes of a bucket up to which those outside its largest component are compared with all others directly.
 DIRECT = 32
+#: Parts into which the pairs of one node are split where texts are joined to them.
+SALT = 64
 #: Ratio of neighbouring classes of set sizes in the prefix filter.
 SIZE_STEP = 1.03
 _CELLS = np.concatenate([[0, 1 / 16, 1 / 8, 1 / 4, 1 / 2], np.arange(1.0, 4097.0)])
@@ -147,7 +149,10 @@ def signed(docs: DataFrame) -> DataFrame:
 def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Those of `pairs` (a, b) whose texts in `rows` (_node, text) have shingle sets of that similarity at least."""
     text = lambda k: rows.select(F.col("_node").alias(k), F.col("text").alias(f"_{k}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "_a", "_b")
+    # A hub may be `a` of a large share of all pairs: these are split into `SALT` parts, and its text goes to each in use.
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALT)).alias("salt"))
+    parts = pairs.select("a", "salt").distinct().join(text("a"), "a")
+    both = pairs.join(parts, ["a", "salt"]).join(text("b"), "b").select("a", "b", "_a", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, column="_a", most=2 << 20):
@@ -164,7 +169,7 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float = SIMILAR) ->
 
 
 def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """a, b (a < b): of `probe` x `index` (node, comp) a superset of the pairs of two components with that similarity.
+    """a, b (as `_ordered`): of `probe` x `index` (node, comp) a superset of the pairs of two components with that similarity.
 
     Shingles are ordered by the number of nodes of `index` that hold them, rarest first.  If sets of sizes n and m have
     similarity s, at least s / (1 + s) * (n + m) shingles are common, so the first common one is no later in either
@@ -200,28 +205,40 @@ def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: flo
     return _ordered(met, "x", "node").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node that it is linked with) of every node in `edges` (a, b).
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """a, b: the node of the smaller hash first, which is a bucket's first hub wherever that is one of them."""
+    swap = F.xxhash64(x) > F.xxhash64(y)
+    return pairs.select(F.when(swap, F.col(y)).otherwise(F.col(x)).alias("a"), F.when(swap, F.col(x)).otherwise(F.col(y)).alias("b"))
 
-    Smallest labels travel along edges and labels of labels are followed, until nothing changes.
-    """
-    both = written(edges.where("a <> b").select("a", "b").union(edges.select("b", "a").where("a <> b")).distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
-    while True:
-        # Each node's smallest label among its neighbours' and its own.
-        seen = both.join(label.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("_near"))
-        step = label.join(seen, "node").select("node", F.least("comp", "_near").alias("_to"), F.col("comp").alias("_was"))
-        step = written(step, "labels")
-        up = step.select(F.col("node").alias("_to"), F.col("_to").alias("_up"))
-        label = written(step.join(up, "_to", "left").select("node", F.coalesce("_up", "_to").alias("comp"), "_was"), "labels")
-        done = label.where("comp <> _was").limit(1).count() == 0
-        label = label.select("node", "comp")
-        if done:
-            return label
 
+def _moved(edges: DataFrame, place: DataFrame) -> DataFrame:
+    """The edges (a, b) between the places (node, comp) of their ends, without those that lie in one place."""
+    for k in ("a", "b"):
+        edges = edges.join(place.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}")), k)
+    return _ordered(edges.where("_a <> _b"), "_a", "_b").distinct()
 
-def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, comp of every node in `edges` (a, b) and in `known`, the components before: comp is one of its nodes.
+
+    In each turn every place moves to its neighbour of the smallest hash (drawn anew, itself included) and on to where
+    that one moves; edges then run between the new places, and those inside one are dropped.  So edges get fewer by a
+    share in each turn whatever the shape, and edges that come later only join the places known before.
+    """
+    ends = edges.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label = (ends if known is None else ends.join(known, "node", "left_anti")).select("node", F.col("node").alias("comp"))
+    label = written(label if known is None else label.union(known), "labels")
+    live = written(_moved(edges, label) if known is not None else _ordered(edges.where("a <> b"), "a", "b").distinct(), "edges")
+    for turn in count():
+        if live.isEmpty():
+            return label
+        rank = lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("h"), F.col(x).alias("node"))
+        near = live.union(live.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("near"))
+        up = written(near.select(F.col("a").alias("node"), F.least("near", rank("a"))["node"].alias("up")), "moves")
+        jump = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("comp")), "up").select("node", "comp"), "moves")
+        label = label.join(jump.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left")
+        label = written(label.select("node", F.coalesce("_to", "comp").alias("comp")), "labels")
+        live = written(_moved(live, jump), "edges")
 
 
 def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
@@ -241,8 +258,8 @@ def classes(rows: DataFrame) -> DataFrame:
     nodes = written(rows.groupBy("_digest").agg(first.alias("f")).select("_digest", F.col("f.n").alias("node"), F.col("f.d").alias("first_id")), "nodes")
     bands = rows.join(nodes.select(F.col("node").alias("_node")), "_node", "left_semi").select(F.col("_node").alias("node"), F.explode("_bands").alias("key"))
     bands = written(bands, "bands")
-    # Each bucket has its own hub (the smallest hash of node and key), so members of a large group meet many hubs.
-    hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("hub"), F.count("*").alias("n"))
+    # The node of the smallest hash is the hub of all its buckets, so a group of near copies meets few hubs at first.
+    hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("hub"), F.count("*").alias("n"))
     hubs = written(hubs.where("n > 1").select("key", F.col("hub.node").alias("hub")), "hubs")
     bucket = written(bands.join(hubs, "key").select("key", "hub", "node"), "buckets")
     texts = rows.select("_node", "text").join(bucket.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi")
@@ -273,8 +290,7 @@ def classes(rows: DataFrame) -> DataFrame:
         more = written(similar_pairs(fresh, texts), "links")
         tried = tried.union(fresh)
         if more.limit(1).count():
-            links = links.union(more)
-            comp = components(links)
+            comp = components(more, comp)
     return nodes.join(comp, "node", "left").select("_digest", "node", "first_id", F.coalesce("comp", "node").alias("comp"))
 
 
