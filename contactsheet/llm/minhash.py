@@ -169,7 +169,7 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float = SIMILAR) ->
 
 
 def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """a, b (as `_ordered`): of `probe` x `index` (node, comp) a superset of the pairs of two components with that similarity.
+    """a, b (a < b): of `probe` x `index` (node, comp) a superset of the pairs of two components with that similarity.
 
     Shingles are ordered by the number of nodes of `index` that hold them, rarest first.  If sets of sizes n and m have
     similarity s, at least s / (1 + s) * (n + m) shingles are common, so the first common one is no later in either
@@ -202,7 +202,7 @@ def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: flo
     offers = written(offers, "offers")
     asked = offers.where("asks").select(F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("own").alias("other"), F.col("other").alias("own"), "token")
     met = asked.join(offers, ["token", "own", "other"]).where("cx <> comp")
-    return _ordered(met, "x", "node").distinct()
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -282,11 +282,11 @@ def classes(rows: DataFrame) -> DataFrame:
             small, large = F.col("size") <= DIRECT, F.col("size") > DIRECT
             some = outer.where(small).select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
             cross = some.join(inside.where(small).select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
-        cross = _ordered(cross, "x", "y")
+        cross = cross.select("x", "y")
         if turn == HUB_TURNS:
             probe, index = (written(x.where(large).select("node", "comp").distinct(), "large") for x in (outer, inside))
             cross = cross.union(prefix_pairs(probe, index, texts))
-        fresh = written(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        fresh = written(_ordered(cross, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = written(similar_pairs(fresh, texts), "links")
         tried = tried.union(fresh)
         if more.limit(1).count():
