@@ -21,14 +21,17 @@ def ingest(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("file_id"), F.lower("event_type").alias("kind"), F.col("ts").alias("captured"), F.col("user_id").alias("album"))
 
 
-def distinct_values(events: DataFrame, key: str, late: str = "60 days") -> DataFrame:
-    """Rows whose key wasn't seen within the watermark; later copies are dropped."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def distinct_values(events: DataFrame, key: str, late: str | None = None) -> DataFrame:
+    """One row of each key; with `late`, state is forgotten after that time, and late rows are lost and keys may return."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if late else events.dropDuplicates([key])
 
 
-def burst_sessions(events: DataFrame, gap_s: int = DEFAULTS.burst_gap_s, late: str = "1 hour") -> DataFrame:
-    """Chains of shots of an album whose gaps are at most `gap_s`."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+def burst_sessions(events: DataFrame, gap_s: int = DEFAULTS.burst_gap_s, late: str | None = None) -> DataFrame:
+    """Chains of shots of an album whose gaps are at most `gap_s`.
+
+    A stream without `late` keeps all sessions and runs in complete mode; with it, rows later than that are lost.
+    """
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
     w = rows.groupBy(F.session_window("ts", f"{gap_s} seconds").alias("w"), "user_id").agg(F.count("*").alias("shots"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     return w.select("user_id", "shots", F.unix_micros("a").alias("start_us"), F.unix_micros("b").alias("end_us"))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from contactsheet.queries import QUERIES
 from contactsheet.sources import images, metadata
 from contactsheet.streaming import streams
 
@@ -67,3 +68,22 @@ def test_streams_equal_batch(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "events.parquet")).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp"))
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(streams.run_available(streams.burst_sessions(events(), 21), where, "complete")) == key(streams.burst_sessions(batch, 21))
+
+
+def test_streams_of_many_mixed_files_equal_batch(spark, tmp_path):
+    """Twelve files, each with times of all 200 days: three batches, whose later rows are older than the first's newest."""
+    n, rng = 1200, np.random.default_rng(3)
+    days, user = rng.permutation(n) % 200, np.arange(n) % 7
+    user = np.where((days < 100) & (np.arange(n) % 12 >= 8), user + 7, user)
+    ts = np.datetime64("2024-01-01T00:00:00", "us") + days.astype("timedelta64[D]") + rng.integers(0, 3600, n).astype("timedelta64[s]")
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(12):
+        own = np.arange(n) % 12 == k
+        own = pa.table({"event_id": np.flatnonzero(own), "ts": pa.array(ts[own]), "user_id": user[own], "event_type": ["A"] * own.sum(), "value": [0.5] * own.sum(), "props": ["{}"] * own.sum()})
+        pq.write_table(own, tmp_path / "events.parquet" / f"part-{k:02}.parquet")
+    batch = spark.read.parquet(str(tmp_path / "events.parquet")).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    users = key(QUERIES["dedup_stream"](spark, str(tmp_path)))
+    assert (len(users), users) == (14, key(batch.select("user_id").distinct()))
+    sessions = key(QUERIES["burst_sessions"](spark, str(tmp_path)))
+    assert (sum(r[1] for r in sessions), sessions) == (n, key(streams.burst_sessions(batch, 600)))
