@@ -14,6 +14,9 @@ from ..params import DEFAULTS, ROTATE_JPEG, ROTATE_PIXELS, VIDEO
 OPERATIONS = ("dup-trash", "sim-trash", "orient-fix", "move-nonphotos", "rename-date", "fix-dates")
 CATEGORY_OF = dict(zip(OPERATIONS, ("duplicates", "similar", "orientation", "non-photos", "rename", "dates")))
 
+#: The highest suffix that a move of non-photos tries, as in the reference; other moves have no such limit.
+MOST_MOVED = 9999
+
 
 def plan_minus_moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.join(moves.select("file_id"), "file_id", "left_anti")
@@ -43,11 +46,11 @@ def plan_summary(plan: DataFrame, media: DataFrame) -> DataFrame:
     return both.groupBy("op_key").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def allocate_targets(claims: DataFrame, existing: DataFrame, most: int = 9999) -> DataFrame:
+def allocate_targets(claims: DataFrame, existing: DataFrame, most: int | None = None) -> DataFrame:
     """Where each claim (file_id, path, dest_dir, name) goes: the plain name if free, else the smallest free _n.
 
     Claims are served by file_id.  Names of `existing` (path) and plain names that claims get are taken; a file in place
-    already stays; beyond `most` a claim fails (null target).
+    already stays; beyond `most`, if given, a claim fails (null target).
     """
     full = F.concat("dest_dir", F.lit("/"), "name")
     stays = claims.where(F.col("path") == full).select("file_id", "path", "dest_dir", "name", full.alias("target"))
@@ -69,14 +72,15 @@ def allocate_targets(claims: DataFrame, existing: DataFrame, most: int = 9999) -
     before = F.sum("_is").over(group.orderBy("_d", "_is").rowsBetween(Window.unboundedPreceding, 0))
     slot = F.col("_d") + F.col("_n")
     served = line.withColumn("_n", before).where("_is = 0")
-    target = F.when(slot <= most, F.concat("dest_dir", F.lit("/"), "_stem", F.lit("_"), slot.cast("string"), "_ext"))
+    target = F.concat("dest_dir", F.lit("/"), "_stem", F.lit("_"), slot.cast("string"), "_ext")
+    target = target if most is None else F.when(slot <= most, target)
     served = served.select("_c.file_id", "_c.path", "dest_dir", "_c.name", target.alias("target"))
     return stays.unionByName(plain).unionByName(served)
 
 
 def move_plan(classified: DataFrame, media: DataFrame, base: str = DEFAULTS.base_dir) -> DataFrame:
     claims = classified.select("file_id", "path", F.concat(F.lit(f"{base}/_non_photos/"), "category").alias("dest_dir"), F.col("filename").alias("name"))
-    return allocate_targets(claims, media)
+    return allocate_targets(claims, media, most=MOST_MOVED)
 
 
 def location_move_plan(named: DataFrame, media: DataFrame, base: str = DEFAULTS.base_dir) -> DataFrame:

@@ -49,6 +49,16 @@ def test_allocate_targets(spark):
     assert got == {1: "/d/a_3.jpg", 2: "/d/a_4.jpg", 3: "/d/a_5.jpg", 4: "/d/a_1.jpg", 5: "/d/b.jpg", 6: "/d/b_1.jpg"}
 
 
+def test_only_moves_of_non_photos_are_capped(spark):
+    n = 10_050
+    files = spark.range(n).select(F.col("id").alias("file_id"), F.format_string("/in/%d/a.jpg", "id").alias("path"), F.lit("a.jpg").alias("filename"), F.lit("Unknown").alias("label"), F.lit("other").alias("category"))
+    placed = plan.location_move_plan(files, files).agg(F.count("target"), F.countDistinct("target"), F.count("*")).head()
+    assert tuple(placed) == (n, n, n)
+    claims = files.select("file_id", "path", F.lit("/d").alias("dest_dir"), F.col("filename").alias("name"))
+    assert plan.allocate_targets(claims, files).where("target is null").count() == 0
+    assert plan.move_plan(files, files).where("target is null").count() == n - 10_000
+
+
 def test_exact_duplicates(spark):
     files = spark.createDataFrame([(1, "xx"), (2, "xx"), (3, "xy"), (4, ""), (5, ""), (6, None)], "file_id long, content string")
     got = dedup.exact_duplicates(files, size=F.octet_length("content").cast("bigint")).collect()
