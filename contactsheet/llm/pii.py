@@ -27,7 +27,14 @@ SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)"
 CARD = r"(?<![\d])\d(?:[ \-]?\d){12,18}(?!\d)"
-ANY = "|".join(f"(?:{p})" for p in (MAIL, SECRET, ACCOUNT, DATE, SOCIAL, PHONE, ADDRESS, CARD))
+#: A card number's start: groups of at least four digits, and a last one that may be shorter.
+GROUPS = r"\d{4,19}(?:[ \-]\d{4,19}){0,3}(?:[ \-]\d{1,3})?"
+#: Characters of an account number by country, as registered.
+LENGTHS = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split())
+    for country in countries.split(",")
+}
 
 #: Bounds matches while a text is taken apart, and what stands for it and for itself where a text holds it already.
 MARK, STAND_IN = "\ue000", "\ue001"
@@ -200,10 +207,52 @@ def _replace(s: Column, key: str) -> Column:
     )
 
 
+def _starts(s: Column, least: int) -> Column:
+    """`s` cut at each of its separators, and whole, the longest first; those of at least `least` digits and letters."""
+    size = lambda x: F.length(F.regexp_replace(x, "[ \\-]", ""))
+    ends = F.filter(F.sequence(F.length(s), F.lit(1), F.lit(-1)), lambda i: (i == F.length(s)) | F.substr(s, i + 1, F.lit(1)).isin(" ", "-"))
+    return F.filter(F.transform(ends, lambda i: F.substr(s, F.lit(1), i)), lambda x: size(x) >= least)
+
+
+def _accounts(text: Column) -> Column:
+    """Valid account numbers of a text: at each start that of the country's length, else the longest that is valid.
+
+    A country without a registered length may end at any space, others only where the match as a whole does.
+    """
+    size = F.create_map(*(F.lit(x) for pair in LENGTHS.items() for x in pair))
+
+    def valid(s: Column) -> Column:
+        own = F.element_at(size, F.substr(s, F.lit(1), F.lit(2)))
+        bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+        good = F.filter(_starts(s, 15), lambda x: (own.isNull() | (x == s) | (F.length(bare(x)) == own)) & (_mod97(bare(x)) == 1))
+        return _let(good, lambda g: F.concat(F.filter(g, lambda x: F.length(bare(x)) == own), g))
+
+    return F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=({ACCOUNT}))"), F.lit(1))), valid))
+
+
+def _cards(text: Column) -> Column:
+    """Valid card numbers of a text: at each start those in groups of four digits or more, the longest first, then longest matches as they are."""
+    valid = lambda s: luhn_sum(_digits(s)) == 0
+    whole = lambda x: ~x.rlike(r"[ \-]\d{1,3}$")
+    grouped = F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<!\d)(?=({GROUPS})(?!\d))"), F.lit(1))), lambda s: _starts(s, 13)))
+    grouped = F.filter(grouped, lambda s: (F.length(_digits(s)) <= 19) & valid(s))
+    as_is = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({CARD})"), F.lit(1))), valid)
+    return _let(grouped, lambda g: F.concat(F.filter(g, whole), F.filter(g, lambda s: ~whole(s)), as_is))
+
+
+def _pattern(text: Column) -> Column:
+    """What to look for in a text.  Accounts and cards go in as the valid ones that it holds, so what fails hides nothing behind it."""
+    numbers = lambda found, before, after: F.when(F.size(found) > 0, F.concat(F.lit(f"|{before}(?:"), F.array_join(F.array_distinct(found), "|"), F.lit(f"){after}"))).otherwise("")
+    accounts = F.when(text.rlike(ACCOUNT), _let(_accounts(text), lambda found: numbers(found, r"\b(?=[A-Z]{2}\d)", r"\b"))).otherwise("")
+    cards = F.when(text.rlike(CARD), _let(_cards(text), lambda found: numbers(found, r"(?<!\d)(?=\d)", r"(?!\d)"))).otherwise("")
+    fixed = lambda *patterns: "|".join(f"(?:{p})" for p in patterns)
+    return F.concat(F.lit("(" + fixed(MAIL, SECRET)), accounts, F.lit("|" + fixed(DATE, SOCIAL, PHONE, ADDRESS)), cards, F.lit(")"))
+
+
 def _parts(text: Column) -> Column:
     """The text taken apart: matches at even places (the second, the fourth ...), what lies between at odd ones."""
     safe = F.when(text.contains(MARK) | text.contains(STAND_IN), F.replace(F.replace(text, F.lit(STAND_IN), F.lit(STAND_IN + "b")), F.lit(MARK), F.lit(STAND_IN + "a"))).otherwise(text)
-    return F.split(F.regexp_replace(safe, f"({ANY})", f"{MARK}$1{MARK}"), MARK)
+    return F.split(_let(safe, lambda s: F.regexp_replace(s, _pattern(s), F.lit(f"{MARK}$1{MARK}"))), MARK)
 
 
 def _whole(parts: Column) -> Column:
@@ -215,7 +264,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     """`docs` with personal data in `column` replaced; all other columns and rows stay.
 
     Null stays null and empty stays empty; a text without matches stays as it is, to the character; repeated rows get
-    equal results.  What fails validation (a number that fails Luhn, a date that isn't one) stays too.
+    equal results.  What fails validation (a number that fails Luhn, a date that isn't one) stays too, and what is valid
+    within it or before it is found all the same.
     """
     text = F.col(column)
     changed = F.transform(_parts(text), lambda x, i: F.when(i % 2 == 1, _replace(x, key)).otherwise(x))

@@ -256,6 +256,23 @@ def test_pseudonyms(spark):
     assert got[11].startswith(" ") and got[11].endswith(" a")
 
 
+IBANS = ["DE89370400440532013000 I said", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "GB82 WEST 1234 5698 7654 32 USD", "REF AB12 GB82 WEST 1234 5698 7654 32 USD", "DE89 3704 0044 0532 0130 00 4111 1111 1111 1111 12/27"]
+CARDS = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "no 12 4111-1111-1111-1111 9", "41111111 11111111 12/27", "3782 822463 10005 1234", "AB12 4111 1111 1111 1111", "4111 1111 1111 1111 5500 0055 5555 5559", "1234567890123 2024-01-05"]
+
+
+def test_pseudonyms_before_other_words(spark):
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame(spark, [*IBANS, *CARDS, "DE89370400440532013000", "4111111111111111"])).collect()}
+    code, card = got[len(IBANS) + len(CARDS)], got[len(IBANS) + len(CARDS) + 1]
+    four = lambda x, by=" ": by.join(x[i : i + 4] for i in range(0, len(x), 4))
+    assert [got[0], got[1]] == [f"{code} I said", f"{four(code)} BIC COBADEFF"] and got[4] == f"{four(code)} {four(card)} 12/27"
+    assert re.fullmatch(r"GB\d\d WEST( \d{4}){3} \d\d USD", got[2]) and got[2] != IBANS[2] and got[3] == f"REF AB12 {got[2]}"
+    c = {t: got[len(IBANS) + i] for i, t in enumerate(CARDS)}
+    assert [c[t] for t in CARDS[:4]] == [f"{four(card)} 12/27", f"{card} 123", f"no 12 {four(card, '-')} 9", f"{card[:8]} {card[8:]} 12/27"]
+    assert luhn(c[CARDS[4]][:-5].replace(" ", "")) and c[CARDS[4]].endswith(" 1234") and c[CARDS[4]] != CARDS[4]
+    assert c[CARDS[5]] == f"AB12 {four(card)}" and c[CARDS[6]].startswith(four(card)) and not c[CARDS[6]].endswith("5559")
+    assert c[CARDS[7]].startswith("1234567890123 ") and c[CARDS[7]] != CARDS[7]
+
+
 def test_feistel_is_a_permutation(spark):
     n = F.col("id")
     p = pii.feistel(F.floor(n / 11), n % 11, F.lit(7), F.lit(11), "k", "x")
