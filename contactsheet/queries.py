@@ -295,14 +295,7 @@ def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("select file_id, row_number() over (order by local_s nulls last, file_id) place, local_s from shots where local_s is not null", SHOTS)
 def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = similar.date_order(fx.media(spark, sf_dir)).where("local_s is not null")
-    # Places without a window over all rows: rows before each day, and the place within the day.
-    from pyspark.sql import Window
-
-    day = rows.withColumn("day", F.floor(C("local_s") / 86400))
-    sums = day.groupBy("day").agg(F.count("*").alias("n"))
-    before = sums.select("day", (F.sum("n").over(Window.orderBy("day")) - C("n")).alias("base"))
-    return day.withColumn("k", F.row_number().over(Window.partitionBy("day").orderBy("local_s", "file_id"))).join(before, "day").select("file_id", (C("base") + C("k")).alias("place"), "local_s")
+    return similar.date_places(fx.media(spark, sf_dir))
 
 
 @query("select * from near", SHOTS, NEAR)

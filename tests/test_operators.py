@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from contactsheet import fixtures
 from contactsheet.operators import dedup, geo, similar
 from contactsheet.plans import ledger, plan
+from contactsheet.queries import QUERIES
 
 
 def test_components_equal_union_find(spark):
@@ -59,6 +61,20 @@ def test_only_moves_of_non_photos_are_capped(spark):
     assert plan.move_plan(files, files).where("target is null").count() == n - 10_000
 
 
+def test_date_places_of_all_photos(spark, tmp_path):
+    rng = random.Random(4)
+    dates = [rng.choice(["2024:01:05 03:04:05", "2024:01:05 03:04:06", "1969:12:31 23:59:59", "2024-01-06T00:00:00", None, "bad"]) for _ in range(300)]
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(250)] + list(range(50))
+    media = spark.createDataFrame([(i, ".jpg", d) for i, d in zip(ids, dates)], "file_id long, extension string, date_raw string")
+    media = media.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("gps_lat", "double"), ("gps_lon", "double"), ("size", "long"), ("width", "int"), ("height", "int"), ("phash_bits", "string"))))
+    want = [r["file_id"] for r in similar.date_order(media).collect()]
+    got = similar.date_places(media).collect()
+    assert [r["place"] for r in sorted(got, key=lambda r: r["place"])] == list(range(1, 301))
+    assert [r["file_id"] for r in sorted(got, key=lambda r: r["place"])] == want
+    query = QUERIES["date_order"](spark, "/root/testdata/sf0.001")
+    assert query.count() == similar.shots(fixtures.media(spark, "/root/testdata/sf0.001")).count() > query.where("local_s is not null").count()
+
+
 def test_exact_duplicates(spark):
     files = spark.createDataFrame([(1, "xx"), (2, "xx"), (3, "xy"), (4, ""), (5, ""), (6, None)], "file_id long, content string")
     got = dedup.exact_duplicates(files, size=F.octet_length("content").cast("bigint")).collect()
