@@ -33,7 +33,7 @@ BLOCKS = {
     **{t: "table" for t in "table tbody thead tfoot tr caption".split()}, **{t: "cell" for t in "td th".split()},
     "blockquote": "quote", **{t: "other" for t in "address details summary dialog fieldset legend figcaption html center search hr".split()},
 }
-SILENT = "script style noscript template svg math iframe object canvas select textarea button head audio video map".split()
+SILENT = set("script style noscript template svg iframe canvas select textarea button title annotation annotation-xml audio video map".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: What an element of this tag closes when it opens, up to the nearest of the bounds.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
@@ -45,11 +45,16 @@ BAD = set(
 COMMENT = set("comment comments commentlist reply replies respond discussion disqus".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<silent>" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-label|data-part)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: A tag that closes itself; in `a=b/>` the slash belongs to the value.
+_EMPTY = re.compile(r"(?<!=)/\Z")
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'>]+\Z")
+_SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.IGNORECASE) for t in SILENT}
+_BLOCK = re.compile(r"</?(?:" + "|".join(BLOCKS) + r")(?=[\s/>])", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _STOP = re.compile(r"[.!?;:,](?:\s|$)")
@@ -77,6 +82,46 @@ class Dom:
         return len(self.up) - 1
 
 
+def _empty(attrs: str) -> bool:
+    return bool(_EMPTY.search(attrs)) and not _BARE_VALUE.search(attrs)
+
+
+def _silent_end(source: str, tag: str, at: int, flat: set[str]) -> int:
+    """Where the silent element that opened before `at` ends.
+
+    It ends with its closing tag; scripts and styles without one run to the end of the page.  Others without one, or
+    opened again before it, were left open: they end at the next block, or at once if none follows.  `flat`: elements
+    that may nest but were seen unbalanced; they are no longer counted, so a page is read a bounded number of times.
+    """
+    depth = 1
+    for m in _SAME[tag].finditer(source, at):
+        if m[1]:
+            depth -= 1
+            if not depth or tag in ("script", "style"):
+                return m.end()
+        elif tag in ("script", "style") or _empty(m[2]):
+            continue
+        elif tag in ("svg", "template") and tag not in flat:
+            depth += 1
+        else:
+            break
+    if tag in ("script", "style"):
+        return len(source)
+    flat.add(tag)
+    block = _BLOCK.search(source, at)
+    return block.start() if block else at
+
+
+def _tokens(source: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags and comments with where they end; a silent element is one token."""
+    at, flat = 0, set()
+    while m := _TOKEN.search(source, at):
+        at, tag = m.end(), (m["tag"] or "").lower()
+        if tag in SILENT and not m["close"] and not _empty(m["attrs"]):
+            at = _silent_end(source, tag, at, flat)
+        yield m, at
+
+
 def parse(dom: Dom, page: int, source: str) -> None:
     """Adds a page's blocks and text runs to `dom`."""
     root = dom.node(page, -1, KINDS["body"])
@@ -102,15 +147,15 @@ def parse(dom: Dom, page: int, source: str) -> None:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(source):
+    for m, end in _tokens(source):
         if m.start() > at:
             piece = source[at : m.start()]
             run.append(piece)
             if anchor:
                 linked += len(piece)
-        at = m.end()
+        at = end
         tag = m["tag"]
-        if tag is None:
+        if tag is None or tag.lower() in SILENT:
             continue
         tag = tag.lower()
         if tag == "a":

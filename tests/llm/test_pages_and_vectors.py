@@ -27,6 +27,25 @@ def test_main_text(spark):
     assert html.extract(pages.limit(0), model).count() == 0
 
 
+def runs(source):
+    dom = html.Dom()
+    html.parse(dom, 0, source)
+    return [t for t in dom.text if t]
+
+
+def test_silent_parts_end_where_they_should():
+    assert runs("<html><head><title>t</title><meta a=b><body><article><p>one<p>two</article>") == ["one", "two"]
+    assert runs("<head><style>a</style><script>x<y</script><p>one") == ["one"]
+    assert runs('<svg class="i"/><p>one<p>two <svg/>three<svg><svg/><text>no</text></svg>') == ["one", "two three"]
+    assert runs("<svg><svg><title>no</title></svg>no</svg><p>one") == ["one"] == runs("<svg><g>no<p>one")
+    for tag in "button select canvas noscript template textarea iframe audio video map svg".split():
+        assert runs(f"<{tag} a='b'>no<article><p>one</article><{tag}>no</{tag}>") == ["one"], tag
+        assert runs(f"<div><{tag}>no<b>no</b></{tag}>one</div>") == ["one"], tag
+    assert runs("<p>of <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object>text</object>") == ["of x=2 and text"]
+    assert runs("<p>one<script>var a = 1; <p>no") == ["one"] == runs("<p>one<!-- no <p>no") and runs("<p>one <button>two three") == ["one two three"]
+    assert runs("<svg>" * 2000 + "<p>one") == ["one"]
+
+
 def test_kept_nodes_have_kept_parents():
     rng = np.random.default_rng(1)
     dom = html.Dom()
