@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.numbering import numbered, with_block
 
 SESSION_SCHEMA = "session_id int, timestamp string, operations array<struct<type:string,file:string,old_value:string,new_value:string,detail:string>>, undone boolean, undone_at string"
 
@@ -34,9 +35,12 @@ def history(*ledgers: DataFrame) -> DataFrame:
     """Sessions of all ledgers (root, session_id, timestamp, operations, undone), the newest first, with their index."""
     from functools import reduce
 
-    rows = reduce(DataFrame.unionByName, ledgers)
-    order = Window.orderBy(F.col("timestamp").desc(), "root", "session_id")
-    return rows.withColumn("index", F.row_number().over(order) - 1)
+    rows = with_block(reduce(DataFrame.unionByName, ledgers), "session_id")
+    at, root, block = F.col("timestamp"), F.col("root"), F.col("_block")
+    rows = rows.withColumn("_day", F.substring(at, 1, 10)).withColumn("_minute", F.substring(at, 1, 16))
+    levels = [{"_day": F.col("_day").desc()}, {"_minute": F.col("_minute").desc()}, {"timestamp": at.desc()}, {"root": root.asc(), "_block": block.asc()}]
+    rows = numbered(rows, levels, [at.desc(), root.asc(), F.col("session_id").asc()], "index").drop("_day", "_minute", "_block")
+    return rows.withColumn("index", (F.col("index") - 1).cast("int"))
 
 
 def undo_plan(flat: DataFrame, media: DataFrame, ref_compat: bool = False) -> DataFrame:

@@ -99,3 +99,15 @@ def test_undo_is_the_inverse(spark):
     flat = ledger.ledger_append(ops).withColumn("undone", F.lit(False))
     rows = ledger.undo_plan(flat, spark.createDataFrame([("/c",), ("/b",)], "path string")).orderBy("step").collect()
     assert [(r["source"], r["target"], r["success"]) for r in rows] == [("/c", "/b", True), ("/b", "/a", True)]
+
+
+def test_history_has_no_window_over_all_rows(spark):
+    rng = random.Random(5)
+    times = ["2024-01-05T10:00:00", "2024-01-05T10:00:01", "2024-01-05T11:00:00", "2023-12-31T00:00:00", "", None]
+    rows = [(rng.choice(["/a", "/b"]), k, rng.choice(times), k % 3, False) for k in range(200)]
+    parts = [spark.createDataFrame([r for r in rows if (r[0] == x)], "root string, session_id int, timestamp string, operations int, undone boolean") for x in ("/a", "/b")]
+    got = ledger.history(*parts)
+    want = sorted(rows, key=lambda r: (r[2] is None, [-ord(c) for c in r[2] or ""] + [0], r[0], r[1]))
+    assert [(r["root"], r["session_id"]) for r in sorted(got.collect(), key=lambda r: r["index"])] == [r[:2] for r in want] and got.agg(F.max("index")).head()[0] == 199
+    ranks = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number" in line]
+    assert len(ranks) == 1 and "[_day" in ranks[0]
