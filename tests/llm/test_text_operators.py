@@ -307,3 +307,15 @@ def test_empty_tables(spark):
     docs = frame(spark, [])
     for made in (bpe.round_trip(docs), exact.mark(docs), exact.keep(docs), minhash.near_duplicates(docs), packing.pack(docs), sharding.shuffle(docs), pii.pseudonymise(docs), grammar.read_back(grammar.write_ids(docs)), toxicity.score(docs, None)):
         assert made.count() == 0
+
+
+def test_training_takes_each_document_once_and_bounded(spark):
+    texts = [(i, f"text {i} " + "x" * 90) for i in range(40)] + [(7, "text 7 again")] * 500 + [(8, "y" * 5000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    usable = labels.where(~toxicity.held_out(F.col("doc_id"))).count()
+    every = toxicity.training_texts(docs, labels).collect()
+    assert len(every) == len({r["doc_id"] for r in every}) == usable
+    few = toxicity.training_texts(docs, labels, most=1700).collect()
+    sizes = [sum(len(r["text"]) for r in few if r["toxic"] == k) for k in (0, 1)]
+    assert 0 < min(sizes) <= max(sizes) <= 1700 and len(few) < usable and {(r["doc_id"], r["text"]) for r in few} <= set(texts)
