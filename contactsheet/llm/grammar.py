@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count as forever
 
 import numpy as np
 import pyarrow as pa
@@ -96,9 +97,12 @@ class Grammar:
         return self.terminals + len(self.rules)
 
 
-def compress_rows(symbols: np.ndarray, bounds: np.ndarray, weight: np.ndarray | None, grammar: Grammar, passes: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair over rows of symbols (row k is symbols[bounds[k]:bounds[k + 1]]; weight: how often it occurs)."""
-    for _ in range(passes):
+def compress_rows(symbols: np.ndarray, bounds: np.ndarray, weight: np.ndarray | None, grammar: Grammar, passes: int | None, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Re-Pair over rows of symbols (row k is symbols[bounds[k]:bounds[k + 1]]; weight: how often it occurs).
+
+    Without `passes` it goes on until no pair occurs `least` times.
+    """
+    for _ in forever() if passes is None else range(passes):
         if len(symbols) < 2:
             break
         joined = np.ones(len(symbols), bool)
@@ -113,7 +117,7 @@ def compress_rows(symbols: np.ndarray, bounds: np.ndarray, weight: np.ndarray |
     return symbols, bounds
 
 
-def compress(coded: Coded, terminals: int, end_id: int, word_passes: int = 4, passes: int = 1, most: int = 4096, least: int = 16) -> tuple[Grammar, np.ndarray, np.ndarray, np.ndarray]:
+def compress(coded: Coded, terminals: int, end_id: int, word_passes: int = 4, passes: int | None = None, most: int = 4096, least: int = 16) -> tuple[Grammar, np.ndarray, np.ndarray, np.ndarray]:
     """Grammar, symbols, symbols of each document and ids of each document; every document ends with `end_id`."""
     grammar = Grammar(terminals)
     per = coded.count[coded.codes]

@@ -319,3 +319,12 @@ def test_training_takes_each_document_once_and_bounded(spark):
     few = toxicity.training_texts(docs, labels, most=1700).collect()
     sizes = [sum(len(r["text"]) for r in few if r["toxic"] == k) for k in (0, 1)]
     assert 0 < min(sizes) <= max(sizes) <= 1700 and len(few) < usable and {(r["doc_id"], r["text"]) for r in few} <= set(texts)
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    row = np.arange(64)
+    coded = bpe.Coded(np.tile(row, 40).astype(np.int32), np.arange(0, 64 * 40 + 1, 64), np.arange(64, dtype=np.int32), np.ones(64, np.int64))
+    made, symbols, own, tokens = grammar.compress(coded, 64, 0)
+    assert own.tolist() == [2] * 40 and tokens.tolist() == [65] * 40
+    flat, start, length = grammar.expansions(64, made.rules, made.expansions)
+    assert (grammar._spread(symbols[:1], flat, start, length) == row).all()
