@@ -32,10 +32,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _TABLE = mix64(np.arange(1, 64 * 256 + 1, dtype=_U)).reshape(64, 256)
 
 
+#: Bytes of segments that are hashed at once: the work needs some thirty times as much memory.
+HASH_BYTES = 1 << 20
+
+
 def segment_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int | None = None) -> np.ndarray:
     """Tabulation hash of byte segments; with `most`, of their first bytes only.  Segments aren't empty."""
     if most is not None:
         lengths = np.minimum(lengths, most)
+    ends = np.cumsum(lengths)
+    if len(ends) and ends[-1] > HASH_BYTES:
+        edges = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + HASH_BYTES, HASH_BYTES)))
+        edges = np.unique(np.concatenate([[0], edges, [len(ends)]]))
+        return np.concatenate([_segment_hash(data, starts[a:b], lengths[a:b]) for a, b in zip(edges[:-1], edges[1:])])
+    return _segment_hash(data, starts, lengths)
+
+
+def _segment_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.empty(0, _U)
     ends = np.cumsum(lengths)
