@@ -4,6 +4,9 @@ Matches are validated (card numbers by Luhn, bank accounts modulo 97, dates by t
 then permuted by a keyed Feistel network on just the set of valid values of their format, so a value keeps its format
 and validity, equal values stay equal in all documents, whatever separators they are written with, and whoever holds
 the key can invert it.  Mail names and secrets have no such format; they become keyed hashes, which link just as well.
+
+Patterns repeat single characters only where the number isn't bounded, and start where their run of characters starts, so
+a text of any length and content is searched in time in proportion to its length and without deep recursion.
 """
 
 from __future__ import annotations
@@ -15,11 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Demonstration key; a deployment passes its own.
+#: Demonstration key; a deployment passes its own, see `pseudonymise`.
 KEY = "contactsheet-demonstration-key"
 ROUNDS = 8
 
-MAIL = r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9.\-]*[A-Za-z0-9\-]\.[A-Za-z]{2,}"
 SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\s*[=:]\s*[\x22']?)[A-Za-z0-9_\-/+]{16,}"
 ACCOUNT = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b"
 DATE = r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/])"
@@ -36,16 +39,20 @@ LENGTHS = {
     for country in countries.split(",")
 }
 
+#: How telephone country codes of one and two digits start; all others have three.
+ONE_DIGIT = "17"
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
 #: Bounds matches while a text is taken apart, and what stands for it and for itself where a text holds it already.
 MARK, STAND_IN = "\ue000", "\ue001"
 
 
-def _noise(key: str, kind: str, turn: Column, half: Column) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string")), 256)
+def _noise(key: Column, kind: str, turn: Column, half: Column) -> Column:
+    digest = F.sha2(F.concat_ws("|", key, F.lit(kind), turn.cast("string"), half.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 14), 16, 10).cast("bigint")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: Column, kind: str) -> Column:
     """A permutation of the pairs (left < a, right < b), as a struct l, r.  The moduli swap sides each round."""
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
 
@@ -64,7 +71,7 @@ def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def permute_digits(digits: Column, key: str, kind: str) -> Column:
+def permute_digits(digits: Column, key: Column, kind: str) -> Column:
     """A permutation of the digit strings of each length from 2 to 36."""
     u = F.floor(F.length(digits) / 2).cast("int")
     v = F.length(digits) - u
@@ -95,7 +102,7 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
-def _card(s: Column, key: str) -> Column:
+def _card(s: Column, key: Column) -> Column:
     def change(d: Column) -> Column:
         head = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
         return _let(head, lambda h: F.concat(h, ((10 - luhn_sum(F.concat(h, F.lit("0")))) % 10).cast("string")))
@@ -114,7 +121,7 @@ def _mod97(code: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add)
 
 
-def _account(s: Column, key: str) -> Column:
+def _account(s: Column, key: Column) -> Column:
     def change(c: Column) -> Column:
         body = F.substr(c, F.lit(5))
         fresh = _let(_digits(body), lambda d: F.when(F.length(d) >= 2, _refill(body, permute_digits(d, key, "account"))).otherwise(body))
@@ -133,25 +140,44 @@ def _account(s: Column, key: str) -> Column:
 FIRST_DAY, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", 189, 773
 
 
-def _date(s: Column, key: str) -> Column:
-    forms = [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/", "MM/dd/yyyy")]
+#: Turns that a day number walks at most; each ends the walk with a chance of 0.39 at least.
+TURNS = 96
 
-    def change(form: str) -> Callable[[Column], Column]:
-        def one(n: Column) -> Column:
-            pair = feistel(F.floor(n / RIGHT_DAYS), n % RIGHT_DAYS, F.lit(LEFT_DAYS), F.lit(RIGHT_DAYS), key, "date")
-            fresh = _let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * RIGHT_DAYS + p["r"]).cast("int")))
-            return F.when((n >= 0) & (n < LEFT_DAYS * RIGHT_DAYS), F.date_format(fresh, form)).otherwise(s)
 
-        return one
+def _walked(n: Column, key: Column) -> Column:
+    """The next day number of its own kind on n's cycle of the permutation; kinds are days of the month up to 12 and later.
 
-    out = s
-    for shape, form in forms[::-1]:
+    So a date that can only be read with the day first stays one, and equal dates stay equal in all notations.
+    """
+    early = lambda x: F.day(F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))) <= 12
+
+    def turn(s: Column, _: Column) -> Column:
+        pair = feistel(F.floor(s["n"] / RIGHT_DAYS), s["n"] % RIGHT_DAYS, F.lit(LEFT_DAYS), F.lit(RIGHT_DAYS), key, "date")
+        step = _let(_let(pair, lambda p: p["l"] * RIGHT_DAYS + p["r"]), lambda y: F.struct(y.alias("n"), (early(y) == s["early"]).alias("done"), s["early"].alias("early")))
+        return F.when(s["done"], s).otherwise(step)
+
+    start = F.struct(n.cast("bigint").alias("n"), F.lit(False).alias("done"), early(n).alias("early"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TURNS)), start, turn, lambda s: F.when(s["done"], s["n"]))
+
+
+def _date(s: Column, key: Column) -> Column:
+    """Dates with slashes are read with the month first if they can be, else with the day first."""
+
+    def shown(form: str) -> Callable[[Column], Column]:
+        return lambda n: F.when((n >= 0) & (n < LEFT_DAYS * RIGHT_DAYS), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), _walked(n, key).cast("int")), form))
+
+    def fresh(form: str) -> Column:
         day = F.try_to_timestamp(s, F.lit(form)).cast("date")
-        out = F.when(s.rlike(shape), F.coalesce(_let(F.datediff(day, F.lit(FIRST_DAY).cast("date")), change(form)), s)).otherwise(out)
+        return _let(F.datediff(day, F.lit(FIRST_DAY).cast("date")), shown(form))
+
+    forms = [(r"^\d{4}-", ("yyyy-MM-dd",)), (r"^\d{4}/", ("yyyy/MM/dd",)), (r"^\d{2}\.", ("dd.MM.yyyy",)), (r"^\d{2}/", ("MM/dd/yyyy", "dd/MM/yyyy"))]
+    out = s
+    for shape, read in forms:
+        out = F.when(s.rlike(shape), F.coalesce(*map(fresh, read), s)).otherwise(out)
     return out
 
 
-def _social(s: Column, key: str) -> Column:
+def _social(s: Column, key: Column) -> Column:
     """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999."""
     area, group, serial = (F.substr(s, F.lit(x), F.lit(n)).cast("int") for x, n in ((1, 3), (5, 2), (8, 4)))
     good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -165,14 +191,19 @@ def _social(s: Column, key: str) -> Column:
     return F.when(good, _let(feistel(place * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999), key, "social"), show)).otherwise(s)
 
 
-def _phone(s: Column, key: str) -> Column:
-    """All digits but those of the country code."""
-    code = F.regexp_extract(s, r"^\+\d{1,3}(?=[ .\-(])", 0)
-    rest = F.substr(s, F.length(code) + 1)
-    return _let(_digits(rest), lambda d: F.when(F.length(d).between(6, 15), F.concat(code, _refill(rest, permute_digits(d, key, "phone")))).otherwise(s))
+def _phone(s: Column, key: Column) -> Column:
+    """All digits but those of the country code, which is told by its first digits, not by what separates it."""
+
+    def change(d: Column) -> Column:
+        first = lambda n: F.substr(d, F.lit(1), F.lit(n))
+        code = F.when(~s.startswith("+"), 0).when(first(1).isin(*ONE_DIGIT), 1).when(first(2).isin(*TWO_DIGITS), 2).otherwise(3)
+        own = _let(code, lambda n: F.concat(F.substr(d, F.lit(1), n), permute_digits(F.substr(d, n + 1), key, "phone")))
+        return F.when((F.length(d) - code).between(6, 15), _refill(s, own)).otherwise(s)
+
+    return _let(_digits(s), change)
 
 
-def _address(s: Column, key: str) -> Column:
+def _address(s: Column, key: Column) -> Column:
     def change(o: Column) -> Column:
         good = F.forall(o, lambda x: x.between(0, 255))
         pair = feistel(F.element_at(o, 1) * 256 + F.element_at(o, 2), F.element_at(o, 3) * 256 + F.element_at(o, 4), F.lit(65536), F.lit(65536), key, "address")
@@ -182,18 +213,18 @@ def _address(s: Column, key: str) -> Column:
     return _let(F.transform(F.split(s, r"\."), lambda x: x.cast("int")), change)
 
 
-def _mail(s: Column, key: str) -> Column:
-    return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(s)), 256), 1, 12), F.lit("@example.invalid"))
+def _mail(s: Column, key: Column) -> Column:
+    return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("mail"), F.lower(s)), 256), 1, 12), F.lit("@example.invalid"))
 
 
-def _secret(s: Column, key: str) -> Column:
+def _secret(s: Column, key: Column) -> Column:
     value = F.regexp_extract(s, r"[A-Za-z0-9_\-/+]+$", 0)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256)
+    digest = F.sha2(F.concat_ws("|", key, F.lit("secret"), value), 256)
     digest = F.when(value == F.upper(value), F.upper(digest)).otherwise(digest)
     return F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(value)), F.rpad(digest, F.length(value), digest))
 
 
-def _replace(s: Column, key: str) -> Column:
+def _replace(s: Column, key: Column) -> Column:
     whole = lambda p: s.rlike(f"^(?:{p})$")
     return (
         F.when(s.contains("@"), _mail(s, key))
@@ -260,16 +291,20 @@ def _whole(parts: Column) -> Column:
     return F.when(text.contains(STAND_IN), F.replace(F.replace(text, F.lit(STAND_IN + "a"), F.lit(MARK)), F.lit(STAND_IN + "b"), F.lit(STAND_IN))).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | Column = KEY, column: str = "text") -> DataFrame:
     """`docs` with personal data in `column` replaced; all other columns and rows stay.
 
     Null stays null and empty stays empty; a text without matches stays as it is, to the character; repeated rows get
     equal results.  What fails validation (a number that fails Luhn, a date that isn't one) stays too, and what is valid
-    within it or before it is found all the same.
+    within it or before it is found all the same.  Texts may be of any length.  A key that is given as text shows in the
+    plan, and so in logs; a column, such as `keys.select("key").scalar()` of a guarded table of one row, doesn't.
     """
-    text = F.col(column)
-    changed = F.transform(_parts(text), lambda x, i: F.when(i % 2 == 1, _replace(x, key)).otherwise(x))
-    return docs.withColumn(column, F.when(text.rlike("[0-9@=:]"), _whole(changed)).otherwise(text))
+    text, hidden = F.col(column), "_key"
+    while hidden in docs.columns:
+        hidden += "_"
+    changed = F.transform(_parts(text), lambda x, i: F.when(i % 2 == 1, _replace(x, F.col(hidden))).otherwise(x))
+    keyed = docs.withColumn(hidden, F.lit(key) if isinstance(key, str) else key)
+    return keyed.withColumn(column, F.when(text.rlike("[0-9@=:]"), _whole(changed)).otherwise(text)).drop(hidden)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
