@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, steps, table
+from .common import frugal, on_workers, steps, table
 from .flat import flat_bytes
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Bytes of text whose words are looked up together: the more, the fewer distinct words in all.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 8 << 20
 #: Words beyond so many bytes are walked one by one.
 LONG_WORD = 40
 
@@ -134,7 +134,9 @@ class Automaton:
         spec = json.load(open(path, encoding="utf-8"))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens") or ()}
-        self.presplit = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        # The library's rules for splitting, without its vocabulary.
+        rules = {**spec, "model": {**spec["model"], "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        self.presplit = Tokenizer.from_str(json.dumps(rules)).pre_tokenizer.pre_tokenize_str
         alphabet = _byte_alphabet()
         self.alphabet = alphabet
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -159,35 +161,50 @@ class Automaton:
 
     def _compile(self, known: list[int]) -> None:
         """`step`: the transition table over bytes whose states are the prefixes of labels, each standing for the
-        longest prefix that the text read so far ends in.  `longest`: of each state, the longest label the text ends in;
-        `shorter`: of each label, the next shorter one that it ends in."""
-        child: dict[tuple[int, int], int] = {}
-        parent, letter, depth, label = [0], [0], [0], [-1]
-        for i in sorted(known):
-            node = 0
-            for b in self.labels[i]:
-                to = child.get((node, b))
-                if to is None:
-                    to = child[node, b] = len(parent)
-                    parent.append(node), letter.append(b), depth.append(depth[node] + 1), label.append(-1)
-                node = to
-            label[node] = i
-        up, by, deep, own = (np.array(x, np.int32) for x in (parent, letter, depth, label))
-        self.step = np.zeros((len(up), 256), np.int32)
+        longest prefix that the text read so far ends in; a prefix that is no beginning of a longer one goes on as the
+        shorter prefix does that it ends in, so `row` gives it that one's row.  `longest`: of each state, the longest
+        label the text ends in; `shorter`: of each label, the next shorter one that it ends in."""
+        known = sorted(known, key=self.labels.__getitem__)
+        size = np.array([len(self.labels[i]) for i in known])
+        data = np.frombuffer(b"".join(self.labels[i] for i in known), np.uint8)
+        start = np.cumsum(size) - size
+        # One depth after another: neighbours in the sorted list share a prefix if they shared the shorter one and this byte.
+        up, by, deep, own = [np.zeros(1, np.int32)], [np.zeros(1, np.int32)], [np.zeros(1, np.int32)], [np.full(1, -1, np.int32)]
+        node, first = np.zeros(len(known), np.int32), 1
+        for d in range(1, int(size.max()) + 1):
+            at = np.flatnonzero(size >= d)
+            letter = data[start[at] + d - 1].astype(np.int32)
+            fresh = np.concatenate([[True], (node[at][1:] != node[at][:-1]) | (letter[1:] != letter[:-1])])
+            up.append(node[at][fresh]), by.append(letter[fresh]), deep.append(np.full(int(fresh.sum()), d, np.int32))
+            node[at] = first + np.cumsum(fresh) - 1
+            label = np.full(len(up[-1]), -1, np.int32)
+            ends = at[size[at] == d]
+            label[node[ends] - first] = np.array(known, np.int32)[ends]
+            own.append(label)
+            first += len(label)
+        up, by, deep, own = (np.concatenate(x) for x in (up, by, deep, own))
+        inner = np.zeros(len(up), bool)
+        inner[up] = True
+        self.row = np.zeros(len(up), np.int32)
+        self.row[inner] = np.arange(inner.sum())
+        self.step = np.zeros((int(inner.sum()), 256), np.int32)
         self.longest = own.copy()
         self.shorter = np.full(len(self.labels), -1, np.int64)
         fail = np.zeros(len(up), np.int32)
         for d in range(1, int(deep.max()) + 1):
             at = np.flatnonzero(deep == d)
-            fail[at] = self.step[fail[up[at]], by[at]] if d > 1 else 0
-            self.step[up[at], by[at]] = at
+            fail[at] = self.step[self.row[fail[up[at]]], by[at]] if d > 1 else 0
+            self.step[self.row[up[at]], by[at]] = at
             if d > 1:
                 ends = at[own[at] >= 0]
                 self.shorter[own[ends]] = self.longest[fail[ends]]
                 none = at[own[at] < 0]
                 self.longest[none] = self.longest[fail[none]]
             # The row of a state: as its fallback's, until its own children (of the next depth) are put in.
-            self.step[at] = self.step[fail[at]]
+            more = at[inner[at]]
+            self.step[self.row[more]] = self.step[self.row[fail[more]]]
+            rest = at[~inner[at]]
+            self.row[rest] = self.row[fail[rest]]
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -228,7 +245,7 @@ class Automaton:
         state = np.full((n, length + 1), -1, np.int64)
         read = np.zeros(n, np.int32)
         for i in range(1, length + 1):
-            read = self.step[read, letters[:, i - 1]]
+            read = self.step[self.row[read], letters[:, i - 1]]
             token, at = self.longest[read].astype(np.int64), np.arange(n)
             while len(at):
                 size = self.length[token]
@@ -434,7 +451,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -450,7 +467,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [a.decode(np.asarray(x or (), np.int64)).decode() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(frugal(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -474,7 +491,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 two.append(hashlib.sha256(a.decode(ids[s:e])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

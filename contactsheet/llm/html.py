@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, steps, table
+from .common import frugal, on_workers, steps, table
 
 #: The HTML elements that make blocks, by kind, and those that hold no text to read.
 KINDS = {k: i for i, k in enumerate("#text body div section article main p heading list item table cell nav header footer aside form quote pre figure other".split())}
@@ -469,7 +469,7 @@ def extract(pages: DataFrame, model: Boosted) -> DataFrame:
             texts = main_texts(batch.column("html").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

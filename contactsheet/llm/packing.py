@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import ENCODE_BYTES, automaton, tokenizer_path
-from .common import on_workers, steps, table, written
+from .common import frugal, on_workers, steps, table, written
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_i
             crc = [zlib.crc32(end, x) if z else x for x, z in ((zlib.crc32(ids[b:e]), z) for b, e, z in zip(begin.tolist(), stop.tolist(), last.tolist()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def assign(cut: DataFrame, capacity: int = 1024, buckets: int = 128) -> DataFrame:
