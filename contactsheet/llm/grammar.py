@@ -24,13 +24,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import ENCODE_BYTES, Coded, automaton, tokenizer_path
-from .common import on_workers, steps, table, written
+from .common import frugal, on_workers, steps, table, written
 
 #: One row per block.  rules: pairs of symbols, the k-th for symbol `terminals` + k; expansions: ids in each rule;
 #: symbols: the compressed row; doc_symbols: symbols of each document; all little-endian unsigned 32-bit integers.
 FILE_SCHEMA = "part int, block int, terminals int, doc_ids array<long>, doc_tokens array<long>, doc_symbols binary, rules binary, expansions binary, symbols binary"
 
 
+#: Counters of pairs that share them by hash.
+SLOT_BITS = 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _numbers(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x, "<u4").tobytes()
 
@@ -46,6 +51,13 @@ def _pass(symbols: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, fi
     if not len(at):
         return symbols, keep, none
     key = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
+    # Pairs share counters by their hash first: what doesn't reach `least` even so isn't worth sorting.
+    slot = (key.view(np.uint64) * _MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    full = np.bincount(slot, None if weight is None else weight[at], 1 << SLOT_BITS) >= least
+    likely = np.flatnonzero(full[slot])
+    if not len(likely):
+        return symbols, keep, none
+    at, key = at[likely], key[likely]
     if weight is None:
         line = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
@@ -149,7 +161,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 0) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, kinds)], [f.split(" ")[0] for f in FILE_SCHEMA.split(", ")])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-    return keyed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    return keyed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text").mapInArrow(frugal(run), FILE_SCHEMA)
 
 
 def _joined(batches: Iterator[pa.RecordBatch], most: int = ENCODE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -225,7 +237,7 @@ def read_back(files: DataFrame) -> DataFrame:
     parts = parts.select("part", (F.sum("_all").over(Window.orderBy("part")) - F.col("_all")).alias("_base"))
     inner = F.sum("_size").over(Window.partitionBy("part").orderBy("block")) - F.col("_size")
     before = blocks.withColumn("_inner", inner).join(parts, "part").select("part", "block", (F.col("_base") + F.col("_inner")).alias("_before"))
-    read = files.mapInArrow(run, "part int, block int, doc_id long, _within long, n_tokens long, ids_crc32 long")
+    read = files.mapInArrow(frugal(run), "part int, block int, doc_id long, _within long, n_tokens long, ids_crc32 long")
     return read.join(before, ["part", "block"]).select("doc_id", (F.col("_before") + F.col("_within")).alias("start"), "n_tokens", "ids_crc32")
 
 
