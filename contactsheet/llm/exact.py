@@ -3,8 +3,9 @@
 A Misra-Gries family sketch (Spark's `approx_top_k`, partial on the map side and merged) proposes frequent digests; it
 tracks a fixed number of counters, so any digest with more than rows / `counters` copies is among them.  The proposed
 digests are counted exactly, which needs one row per digest and task, and those that are frequent indeed are broadcast
-(`heavy` rows at most) with their winner, so their rows are settled where they are read.  All other digests, none of
-which can fill a task, are shuffled and ranked in a window.
+(`heavy` rows at most) with their winner, so their rows are settled where they are read.  All other digests are shuffled
+in the ordinary way: count and winner come from an aggregate that each task pre-aggregates, and meet their rows in a
+join, whose large partitions Spark can split, so that what the sketch leaves can't fill a task either.
 """
 
 from __future__ import annotations
@@ -26,13 +27,16 @@ def _better() -> list[Column]:
     return [F.col("_points").desc(), F.col("doc_id").asc_nulls_last(), F.col("_row").asc()]
 
 
+def _rank() -> Column:
+    """Smaller is better: more code points, then the smaller doc_id (null last), then the row's place or hash."""
+    return F.struct((-F.col("_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
+
+
 def _winners(rows: DataFrame, heavy: int, counters: int, least: int) -> DataFrame:
     """Heavy digests with `_size` and `_best`, their count and winner: at most `heavy` rows."""
     top = rows.agg(F.expr(f"approx_top_k(_digest, {heavy}, {counters})").alias("t")).select(F.explode("t").alias("t"))
     named = F.broadcast(top.select(F.col("t.item").alias("_digest")))
-    # Smaller is better: more code points, then the smaller doc_id (null last), then the row's place in the table.
-    rank = F.struct((-F.col("_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    won = rows.join(named, "_digest", "left_semi").groupBy("_digest").agg(F.count("*").alias("_size"), F.min(rank).alias("_best"))
+    won = rows.join(named, "_digest", "left_semi").groupBy("_digest").agg(F.count("*").alias("_size"), F.min(_rank()).alias("_best"))
     return written(won.where(F.col("_size") >= least), "heavy")
 
 
@@ -46,32 +50,35 @@ def mark(docs: DataFrame, heavy: int = 256, counters: int = 4096, least: int = 6
     rows = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("_digest"), F.coalesce(F.length("text"), F.lit(0)).alias("_points"))
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "digests")
     both = rows.join(F.broadcast(_winners(rows, heavy, counters, least)), "_digest", "left")
-    hot = both.where("_size is not null").select("doc_id", F.col("_best.d").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), F.col("_digest").alias("text_sha256"))
-    group = Window.partitionBy("_digest")
-    ranked = group.orderBy(*_better())
-    cold = both.where("_size is null").select("doc_id", F.first("doc_id").over(ranked).alias("keep_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(ranked) == 1).alias("kept"), F.col("_digest").alias("text_sha256"))
-    return hot.unionByName(cold)
+    hot, cold = both.where("_size is not null"), both.where("_size is null").drop("_size", "_best")
+    cold = cold.join(cold.groupBy("_digest").agg(F.count("*").alias("_size"), F.min(_rank()).alias("_best")), "_digest")
+    out = hot.unionByName(cold)
+    return out.select("doc_id", F.col("_best.d").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
 def keep(docs: DataFrame, heavy: int = 256, counters: int = 4096, least: int = 64) -> DataFrame:
     """The rows of `docs` that stay, whole and with all columns; same rule as `mark`.
 
-    Texts are shuffled once at most, and those of heavy digests not at all but for their winner.
+    Texts are shuffled once at most, and those of heavy digests not at all but for their winner.  Of rows that have the
+    same doc_id and equally many code points the one with the smallest hash of all its columns stays.
     """
     names = docs.columns
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", F.sha2(normalised(F.col("text")), 256).alias("_digest"), F.coalesce(F.length("text"), F.lit(0)).alias("_points"))
-    small = written(whole.select("doc_id", "_digest", "_points", F.lit(0).alias("_row")), "digests")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # a struct needs no other name of the caller's
+    text, doc_id = (F.col(f"c{names.index(c)}") for c in ("text", "doc_id"))
+    whole = plain.select(F.struct(*plain.columns).alias("_doc"), doc_id.alias("doc_id"), F.sha2(normalised(text), 256).alias("_digest"), F.coalesce(F.length(text), F.lit(0)).alias("_points"), F.xxhash64(*plain.columns).alias("_row"))
+    small = written(whole.select("doc_id", "_digest", "_points", "_row"), "digests")
     both = whole.join(F.broadcast(_winners(small, heavy, counters, least)), "_digest", "left")
     tie = Window.partitionBy("_digest")
-    best = (F.col("_points") == -F.col("_best.p")) & F.col("doc_id").eqNullSafe(F.col("_best.d"))
+    best = F.col("_row") == F.col("_best.r")
     # Winners of heavy digests: one row each, or equal rows of one doc_id, of which a partial aggregate keeps one.
     hot = both.where(F.col("_size").isNotNull() & best).groupBy("_digest").agg(F.first("_doc").alias("_doc")).select("_doc.*")
-    cold = both.where("_size is null").withColumn("_row", F.lit(0))
+    cold = both.where("_size is null")
     cold = cold.withColumn("_rank", F.row_number().over(tie.orderBy(*_better()))).where("_rank = 1").select("_doc.*")
-    return hot.select(names).unionByName(cold.select(names))
+    return hot.union(cold).toDF(*names)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of `documents`; see `mark`."""
     return mark(table(spark, sf_dir, "documents"))
 
 
