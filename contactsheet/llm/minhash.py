@@ -1,15 +1,15 @@
 """Near-duplicates by DartMinHash signatures, banded joins and exact verification.
 
-Each weighted element (a shingle of five words; weight 1, or its count) is a region of that width and of unlimited
-time.  Hashed darts fall into the region at rate 1 per unit of area; a dart carries a coordinate and its time, and each
+Each weighted element (a shingle of five words; `signatures` takes any weights, near-duplicates weigh each shingle 1,
+since their similarity is that of sets) is a region of that width and of unlimited time.  Hashed darts fall into the region at rate 1 per unit of area; a dart carries a coordinate and its time, and each
 of a signature's coordinates keeps its earliest dart, so two signatures agree in a coordinate with the probability of
 the weighted Jaccard similarity.  Darts are thrown cell by cell of time, only until all coordinates are expected to be
 hit, so the work per text is its length plus a constant; texts that leave coordinates open throw on.
 
 Equal word sequences are one node.  Bands of a signature are buckets.  In each bucket all nodes are compared with one
 hub, the node of the smallest hash, so a group of near copies has few hubs in all its buckets and is settled in little
-more comparisons than members; those left outside a bucket's largest component meet a few more hubs of it.  Where a bucket still holds nodes of several components, the nodes outside its
-largest one meet all others: in buckets of at most `DIRECT` nodes one by one, in larger ones by an exact prefix filter
+more comparisons than members; those left outside a bucket's largest component meet a few more hubs of it.  Where a bucket
+still holds nodes of several components, the nodes outside its largest one meet all others: in buckets of at most `DIRECT` nodes one by one, in larger ones by an exact prefix filter
 (two sets of that similarity share one of their rarest shingles), so no link that banding proposes is lost.
 Comparisons are exact: Jaccard similarity of the two shingle sets of the whole texts.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import on_workers, steps, table, written
+from .common import frugal, on_workers, steps, table, written
 from .flat import Words, mix64
 
 _U = np.uint64
@@ -71,19 +71,37 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return mix64(out), bounds
 
 
-def signatures(elements: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
+def weighted_shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each document's distinct word shingles, its first one, and how often each occurs."""
+    got, bounds = shingles(words, size)
+    parts = [np.unique(got[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
+    many = np.array([len(x) for x, _ in parts])
+    join = lambda k, t: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t)
+    return join(0, _U), np.concatenate([[0], np.cumsum(many)]).astype(np.int64), join(1, np.int64)
+
+
+def signatures(elements: np.ndarray, bounds: np.ndarray, size: int, weights: np.ndarray | None = None) -> np.ndarray:
     """documents x size identities of the earliest darts; rows of documents without elements are all ones.
 
-    An element that occurs twice throws the same darts twice, so repetitions don't matter; for weighted elements pass
-    one element per unit of weight.
+    Without weights rows are sets: an element that occurs twice throws the same darts twice, so repetitions don't
+    matter.  With weights (positive, elements of a row distinct) an element's region is as wide as its weight: one
+    region of width 1 for each whole unit, and for what is left one of which the darts beyond its width miss.
     """
     docs = len(bounds) - 1
     n = np.diff(bounds)
+    owner = np.repeat(np.arange(docs), n)
+    total, width_of = n.astype(np.float64), None
+    if weights is not None:
+        weights = np.asarray(weights, np.float64)
+        total = np.bincount(owner, weights, docs)
+        units = np.ceil(weights).astype(np.int64)
+        unit = np.arange(int(units.sum())) - np.repeat(np.cumsum(units) - units, units)
+        owner, width_of = np.repeat(owner, units), np.minimum(np.repeat(weights, units) - unit, 1.0)
+        elements = mix64(np.repeat(elements, units) + unit.astype(_U) * _U(0x9E3779B97F4A7C15))
     full = _U(2**64 - 1)
     out = np.full(docs * size, full)
-    need = size * (np.log(size) + 2) / np.maximum(n, 1)
-    live = n > 0
-    owner, gone = np.repeat(np.arange(docs), n), False
+    need = size * (np.log(size) + 2) / np.maximum(total, 1e-9)
+    live, gone = n > 0, False
     for cell in count():
         begin, width = _CELLS[cell], _CELLS[cell + 1] - _CELLS[cell]
         late = live & (begin >= need)
@@ -97,19 +115,24 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarra
         if gone:
             stay = live[owner]
             elements, owner, gone = elements[stay], owner[stay], False
-        own, doc = elements, owner
+            width_of = None if width_of is None else width_of[stay]
+        own, doc, wide = elements, owner, width_of
         drawn = mix64(own ^ _U((0x9E3779B97F4A7C15 * (cell + 1)) % 2**64))
         for k, limit in enumerate(_COUNTS[width]):
             hit = np.flatnonzero(drawn > limit)
             if not len(hit):
                 break
-            drawn, own, doc = drawn[hit], own[hit], doc[hit]
+            drawn, own, doc, wide = drawn[hit], own[hit], doc[hit], None if wide is None else wide[hit]
             dart = mix64(own * _U(0xD6E8FEB86659FD93) + _U(cell * 64 + k + 1))
             place = ((dart >> _U(32)) * _U(size)) >> _U(32)
             # Time within the cell in 19 bits under the cell's number in 12; 33 bits tell darts apart.
             time = mix64(dart)
             mark = (_U(cell) << _U(52)) | (time >> _U(12))
-            np.minimum.at(out, doc * size + place.astype(np.int64), mark)
+            at = doc * size + place.astype(np.int64)
+            if wide is not None:
+                inside = (mix64(time) >> _U(11)) * 2.0**-53 < wide
+                at, mark = at[inside], mark[inside]
+            np.minimum.at(out, at, mark)
 
 
 def _digests(words: Words, texts: pa.Array) -> list[bytes]:
@@ -143,7 +166,7 @@ def signed(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_digests(words, texts), pa.binary()), lists], [*batch.schema.names, "_digest", "_bands"])
 
-    return written(base.mapInArrow(run, schema), "signed")
+    return written(base.mapInArrow(frugal(run), schema), "signed")
 
 
 def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -165,7 +188,7 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float = SIMILAR) ->
                     good[i] = common >= least * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(frugal(run), "a long, b long")
 
 
 def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -186,7 +209,7 @@ def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: flo
             owner = np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["node", "token"])
 
-    tokens = written(texts.mapInArrow(run, "node long, token long"), "tokens")
+    tokens = written(texts.mapInArrow(frugal(run), "node long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
     # What is known of a node joins its one row here, before its shingles become rows.
@@ -317,9 +340,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, one of each class, with all columns; same rule as `near_duplicates`."""
-    rows, named = label(docs)
-    return rows.join(named.where("kept").select("_node"), "_node", "left_semi").select(docs.columns)
+    """The rows of `docs` that stay, one of each class, with all columns; same rule as `near_duplicates`.
+
+    Columns may have any names: only doc_id and text are looked at.
+    """
+    names = docs.columns
+    rows, named = label(docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names))))
+    return rows.join(named.where("kept").select("_node"), "_node", "left_semi").drop("_node", "_digest", "_bands").toDF(*names)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,9 +218,39 @@ def test_signatures_estimate_similarity():
     assert abs((guess - exactly).mean()) < 0.015 and (guess - exactly).std() < 0.05
 
 
+def test_weighted_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(5)
+    rows, exactly = [[], []], []
+    for _ in range(80):
+        a, b = ({int(k): float(w) for k, w in zip(rng.choice(60, 30, replace=False), rng.choice([0.25, 1, 1.5, 3, 7], 30))} for _ in range(2))
+        for k in list(a)[:20]:
+            b[k] = a[k] * float(rng.choice([1, 1, 0.5]))
+        keys = set(a) | set(b)
+        exactly.append(sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys))
+        rows[0].append(a), rows[1].append(b)
+    made = []
+    for side in rows:
+        ids = np.array([k for r in side for k in r], np.uint64)
+        made.append(minhash.signatures(minhash.mix64(ids + np.uint64(9)), np.cumsum([0, *map(len, side)]), 512, np.array([w for r in side for w in r.values()])))
+    guess = (made[0] == made[1]).mean(axis=1)
+    error = guess - np.array(exactly)
+    assert abs(error.mean()) < 0.01 and error.std() < 0.035 and np.std(exactly) > 0.03
+    words = minhash.Words(pa.array(["a b a b a b a b", None, "x"]))
+    got, bounds, times = minhash.weighted_shingles(words)
+    assert bounds.tolist() == [0, 2, 2, 3] and sorted(times[:2].tolist()) == [2, 2] and times[2] == 1
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = "doc_id long, text string, _node long, _digest long, _bands long, _row long, _doc long, comp long, c0 string, _points long, _rank long, _best long, _size long"
+    rows = [(i, t, *range(77, 83), "x", *range(90, 94)) for i, t in enumerate(["a b c d e f g", "a b c  d e f g", None, "other words are here now"])]
+    docs = spark.createDataFrame(rows, names)
+    for kept, ids in ((exact.keep(docs), {1, 2, 3}), (exact.keep(docs, least=2), {1, 2, 3}), (minhash.keep(docs), {0, 2, 3})):
+        assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {r for r in rows if r[0] in ids}
+
+
 def test_sharding(spark, texts):
     docs = frame(spark, texts).repartition(7)
-    rows = sharding.shuffle(docs, shards=5, groups=3, strips=4).collect()
+    rows = sharding.shuffle(docs, shards=5, groups=3, task_rows=4).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
     sizes = Counter(r["shard"] for r in rows)
     assert len(sizes) == 5 and max(sizes.values()) - min(sizes.values()) <= 1
@@ -237,6 +267,32 @@ def test_matrix_has_exact_margins():
     assert (m.sum(axis=1) == rows).all() and sorted(m.sum(axis=0)) == [13, 13, 13, 14]
 
 
+def test_every_dealing_is_equally_likely():
+    # 2 and 3 rows of two groups to shards of 3 and 2: how many matrices there are, weighted by the dealings they stand for.
+    from math import comb
+
+    want = {k: comb(2, k) * comb(3, 3 - k) / comb(5, 3) for k in range(3)}
+    seen = Counter(int(sharding.matrix(np.array([2, 3]), 2, seed)[0, 0]) for seed in range(4000))
+    assert all(abs(seen[k] / 4000 - p) < 0.03 for k, p in want.items())
+
+
+def test_draws_follow_the_law_at_any_size():
+    rng = np.random.default_rng(6)
+    for good, bad, sample in ((30, 70, 20), (5, 3, 6), (1, 10**6, 1000)):
+        mine = np.array([sharding._draw(rng, good, bad, sample) for _ in range(4000)])
+        other = np.random.default_rng(7).hypergeometric(good, bad, sample, 4000)
+        assert abs(mine.mean() - other.mean()) < 0.1 and abs(mine.std() - other.std()) < 0.1
+        assert mine.min() >= max(0, sample - bad) and mine.max() <= min(good, sample)
+    good, bad, sample = 10**12, 23 * 10**12, 10**10
+    big = np.array([sharding._draw(rng, good, bad, sample) for _ in range(300)], float)
+    p = good / (good + bad)
+    sigma = (sample * p * (1 - p)) ** 0.5
+    assert abs(big.mean() - sample * p) < 4 * sigma / 300**0.5 and 0.85 < big.std() / sigma < 1.15
+    rows = np.array([3 * 10**9, 10**9, 5])
+    m = sharding.matrix(rows, 7, 2)
+    assert (m.sum(axis=1) == rows).all() and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
+
+
 def luhn(s):
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
@@ -275,7 +331,7 @@ def test_pseudonyms_before_other_words(spark):
 
 def test_feistel_is_a_permutation(spark):
     n = F.col("id")
-    p = pii.feistel(F.floor(n / 11), n % 11, F.lit(7), F.lit(11), "k", "x")
+    p = pii.feistel(F.floor(n / 11), n % 11, F.lit(7), F.lit(11), F.lit("k"), "x")
     rows = spark.range(77).select(p.alias("p")).select("p.l", "p.r").distinct().collect()
     assert len(rows) == 77 and all(0 <= r["l"] < 7 and 0 <= r["r"] < 11 for r in rows)
 
