@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import frugal, on_workers, steps, table
@@ -44,16 +44,21 @@ BAD = set(
 )
 COMMENT = set("comment comments commentlist reply replies respond discussion disqus".split())
 
+#: What follows a tag's name.  Quotation marks bound a value only right behind an equals sign, and only if both are there.
+_REST = r"(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>{_REST})>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-label|data-part)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: One attribute after another, so that nothing within a value is taken for one.
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+NAMED = set("class id role itemprop aria-label".split())
+#: Tells the part of an element of a training page; read there only, so a given page may use it as it likes.
+_MARK = "data-part"
 #: A tag that closes itself; in `a=b/>` the slash belongs to the value.
 _EMPTY = re.compile(r"(?<!=)/\Z")
 _BARE_VALUE = re.compile(r"=\s*[^\s\"'>]+\Z")
-_SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.IGNORECASE) for t in SILENT}
+_SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])({_REST})>", re.IGNORECASE) for t in SILENT}
 _BLOCK = re.compile(r"</?(?:" + "|".join(BLOCKS) + r")(?=[\s/>])", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -122,8 +127,8 @@ def _tokens(source: str) -> Iterator[tuple[re.Match, int]]:
         yield m, at
 
 
-def parse(dom: Dom, page: int, source: str) -> None:
-    """Adds a page's blocks and text runs to `dom`."""
+def parse(dom: Dom, page: int, source: str, marked: bool = False) -> None:
+    """Adds a page's blocks and text runs to `dom`; `marked`: a training page, whose elements tell their parts."""
     root = dom.node(page, -1, KINDS["body"])
     stack: list[tuple[str, int]] = [("html", root)]
     run: list[str] = []
@@ -179,18 +184,17 @@ def parse(dom: Dom, page: int, source: str) -> None:
             part = -1
             if m["attrs"]:
                 for key, a, b, c in _ATTR.findall(m["attrs"]):
-                    value = a or b or c
-                    if key == "data-part":
+                    key, value = key.lower(), a or b or c
+                    if marked and key == _MARK:
                         part = int(value)
-                        continue
-                    names = {x.lower() for x in _NAME.findall(value)}
-                    good += len(names & GOOD)
-                    bad += len(names & BAD)
-                    talk += len(names & COMMENT)
+                    elif key in NAMED:
+                        names = {x.lower() for x in _NAME.findall(value)}
+                        good += len(names & GOOD)
+                        bad += len(names & BAD)
+                        talk += len(names & COMMENT)
             level = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else 0
             here = dom.node(page, stack[-1][1], KINDS[BLOCKS[tag]], level, good, bad, talk, part=part)
-            if m["attrs"] is None or not m["attrs"].rstrip().endswith("/"):
-                stack.append((tag, here))
+            stack.append((tag, here))
     if at < len(source):
         run.append(source[at:])
     flush()
@@ -339,7 +343,7 @@ def _layout(rng: np.random.Generator, runs: list[str]) -> str:
     def box(part: int, tags: tuple[str, ...], names: tuple[str, ...], body: str) -> str:
         tag = pick(*tags) if style in (0, 2) else "div"
         name = f' {pick("class", "id")}="{pick(*names)}"' if style in (1, 2) else f' class="{pick("a1", "x-7", "box", "col", "wrap", "c3")}"' if rng.random() < 0.5 else ""
-        return f'<{tag}{name} data-part="{part}">{body}</{tag}>'
+        return f'<{tag}{name} {_MARK}="{part}">{body}</{tag}>'
 
     def menu(n: int) -> str:
         items = [f'<a href="/{i}">{brief()}</a>' for i in range(n)]
@@ -379,14 +383,14 @@ def _layout(rng: np.random.Generator, runs: list[str]) -> str:
     talk = ""
     if rng.random() < 0.5:
         said = "".join(pick(f"<li><b>{brief()}</b><p>{line()}</p></li>", f'<div class="comment"><p>{text()}</p></div>', f'<div class="comment"><span>{brief()}</span> {line()}</div>') for _ in range(rng.integers(1, 8)))
-        talk = f'<{pick("section", "div", "ol")} {pick("class", "id")}="{pick("comments", "comment-list", "discussion", "responses comments")}" data-part="0">{pick("", f"<h3>{brief(1, 3)}</h3>")}{said}</div></section></ol>'
+        talk = f'<{pick("section", "div", "ol")} {pick("class", "id")}="{pick("comments", "comment-list", "discussion", "responses comments")}" {_MARK}="0">{pick("", f"<h3>{brief(1, 3)}</h3>")}{said}</div></section></ol>'
     parts = {
         "top": box(REST, ("header", "header", "div"), ("header", "masthead", "site-header", "banner"), pick(brief(), f"<h2>{brief()}</h2>", f"<p>{line()}</p>") + (menu(5) if rng.random() < 0.4 else "")),
         "nav": box(REST, ("nav",), ("nav", "menu", "navbar", "breadcrumbs"), menu(int(rng.integers(3, 12)))),
-        "ad": f'<div class="{pick("ad", "ads", "advert", "banner-ad", "sponsor", "promo")}" data-part="0">{pick(line(), text(), f"<p>{text()}</p>")}</div>',
-        "notice": f'<div {pick("class", "id")}="{pick("cookie-notice", "notice", "cookie-consent", "alert")}" data-part="0">{pick(line(), f"<p>{line()}</p>")}<button>OK</button></div>',
+        "ad": f'<div class="{pick("ad", "ads", "advert", "banner-ad", "sponsor", "promo")}" {_MARK}="0">{pick(line(), text(), f"<p>{text()}</p>")}</div>',
+        "notice": f'<div {pick("class", "id")}="{pick("cookie-notice", "notice", "cookie-consent", "alert")}" {_MARK}="0">{pick(line(), f"<p>{line()}</p>")}<button>OK</button></div>',
         "side": box(REST, ("aside",), ("sidebar", "side", "widget", "related", "rail"), f"<h3>{brief()}</h3>" + pick(menu(5), f"<p>{line()}</p>" * 2, menu(4) + f"<p>{line()}</p>", "".join(f"<p>{text()}</p>" for _ in range(2)))),
-        "form": f'<form action="/s"{pick("", " class=newsletter")} data-part="0"><label>{brief()}</label><input name="q"><p>{line()}</p><button>Go</button></form>',
+        "form": f'<form action="/s"{pick("", " class=newsletter")} {_MARK}="0"><label>{brief()}</label><input name="q"><p>{line()}</p><button>Go</button></form>',
     }
     chance = {"top": 0.6, "nav": 0.9, "ad": 0.6, "notice": 0.4, "side": 0.5, "form": 0.35}
     used = [k for k in parts if rng.random() < chance[k]]
@@ -411,9 +415,22 @@ def _truth(dom: Dom) -> np.ndarray:
     return part
 
 
-def fit(pages: DataFrame, sample: int = 300, layouts: int = 900, seed: int = 2) -> Boosted:
-    """A model from the text runs of at most `sample` pages (the smallest hashes of url and id)."""
-    rows = pages.where("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample).select("html").toArrow().column("html").to_pylist()
+def training_pages(pages: DataFrame, sample: int = 300, most: int = 24 << 20) -> DataFrame:
+    """html of at most `sample` pages (the smallest hashes of id and url) and `most` bytes of whole pages.
+
+    Pages of more than a sixteenth of `most` are left out.
+    """
+    size = F.octet_length("html").cast("bigint")
+    order = F.xxhash64("page_id", "url"), "page_id", F.xxhash64("html")
+    some = pages.where(size.between(1, most // 16)).select("page_id", "url", "html").orderBy(*order).limit(sample)
+    so_far = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over `sample` rows
+    return some.withColumn("_bytes", so_far).where(F.col("_bytes") <= most).select("html")
+
+
+def fit(pages: DataFrame, sample: int = 300, layouts: int = 900, longest: int = 2000, seed: int = 2) -> Boosted:
+    """A model from `layouts` made pages, of text runs of `training_pages` with at most `longest` characters, and from
+    those pages themselves.  Without pages made-up words serve as text."""
+    rows = training_pages(pages, sample).toArrow().column("html").to_pylist()
     own = Dom()
     for i, source in enumerate(rows):
         parse(own, i, source)
@@ -425,11 +442,11 @@ def fit(pages: DataFrame, sample: int = 300, layouts: int = 900, seed: int = 2)
                 own.part[i] = MAIN
             elif k in (KINDS["nav"], KINDS["footer"], KINDS["aside"], KINDS["form"], KINDS["header"]) or own.bad[i]:
                 own.part[i] = REST
-    runs = [t for t in own.text if 20 <= len(t)] or [" ".join("lorem ipsum dolor sit amet consectetur adipiscing elit.".split()[: 3 + i % 6]) * (1 + i % 7) for i in range(40)]
+    runs = [t for t in own.text if 20 <= len(t) <= longest] or [" ".join("lorem ipsum dolor sit amet consectetur adipiscing elit.".split()[: 3 + i % 6]) * (1 + i % 7) for i in range(40)]
     rng = np.random.default_rng(seed)
     new = Dom()
     for i in range(layouts):
-        parse(new, i, _layout(rng, [html.escape(t[:600], quote=False) for t in (runs[j] for j in rng.integers(len(runs), size=30))]))
+        parse(new, i, _layout(rng, [html.escape(t, quote=False) for t in (runs[j] for j in rng.integers(len(runs), size=30))]), marked=True)
     xs, ys, ws = [], [], []
     for d in (own, new):
         if not d.up:
@@ -457,8 +474,8 @@ def main_texts(sources: list[str | None], model: Boosted) -> list[str]:
 def extract(pages: DataFrame, model: Boosted) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Null or empty html, and html without main text, give an empty text.  Whole pages are read; repeated rows give equal
-    results; other columns are not read.
+    Null or empty html, and html without main text, give an empty text.  Whole pages of any length are read, each on its
+    own, in one pass; repeated rows and ids give equal results; an empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
     on_workers(spark)
@@ -473,5 +490,6 @@ def extract(pages: DataFrame, model: Boosted) -> DataFrame:
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every row of `pages`; see `extract`."""
     pages = table(spark, sf_dir, "pages")
     return extract(pages, fit(pages))

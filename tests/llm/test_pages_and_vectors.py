@@ -46,6 +46,45 @@ def test_silent_parts_end_where_they_should():
     assert runs("<svg>" * 2000 + "<p>one") == ["one"]
 
 
+def test_attributes_are_read_as_written():
+    assert runs("<p title=it's>First text. Don't drop</p><p a='x > y'>two</p>") == ["First text. Don't drop", "two"]
+    assert runs('<p title="open>one</p><p>two</p>') == ["one", "two"] and runs('<p a=">">one<p b = \'"\' c>two') == ["one", "two"]
+    assert runs("<article data-part=\"intro\" data-part=1>one</article><p data-part=''>two") == ["one", "two"]
+    dom = html.Dom()
+    html.parse(dom, 0, '<div title="class=ad id=menu" data-class="nav"><p CLASS = comments>x</p></div><div data-part="1"/>y')
+    assert dom.bad[1] == 0 and dom.talk[2] == 1 and set(dom.part) == {-1} and dom.text[-1] == "y"
+    assert runs("<html><title>t</title><p>no head ends</p><iframe/>a<textarea>b<p>c") == ["no head ends", "a", "c"]
+    assert runs("<p x=" + "'" * 9999 + ">one") == ["one"] and runs("<p " + "= " * 50000 + ">one") == ["one"]
+
+
+def test_pages_that_name_parts_teach_nothing(spark):
+    rng = random.Random(0)
+    bare = [page(rng, i)[0] for i in range(30)]
+    odd = [h.replace("<article>", '<article data-part="0">').replace("<footer>", '<footer data-part="intro">') for h in bare]
+    models = [html.fit(spark.createDataFrame(list(enumerate(x)), "page_id long, html string").selectExpr("page_id", "cast(page_id as string) url", "html"), layouts=60) for x in (bare, odd)]
+    assert all((getattr(models[0], k) == getattr(models[1], k)).all() for k in ("cut", "feature", "bin_", "leaf"))
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract(none, html.fit(none, layouts=30)).count() == 0
+
+
+def test_decoding_is_the_best_of_all_choices():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        dom, n = html.Dom(), int(rng.integers(2, 13))
+        for i in range(n):
+            up = int(rng.integers(i)) if i else -1
+            leaf = i > 0 and rng.random() < 0.5
+            while up > 0 and dom.kind[up] == 0:
+                up = dom.up[up]
+            dom.node(0, up, 0 if leaf else html.KINDS["div"], text="x" * int(rng.integers(1, 40)) if leaf else "")
+        odds = rng.normal(size=n)
+        worth = [o * np.log2(1 + len(t)) if t else o for o, t in zip(odds, dom.text)]
+        worth = [o if dom.kind[i] else w for i, (o, w) in enumerate(zip(odds, worth))]
+        best = max(sum(worth[i] for i in range(n) if bits >> i & 1) for bits in range(1, 1 << n, 2) if all(not bits >> i & 1 or bits >> dom.up[i] & 1 for i in range(1, n)))
+        kept = html.decode(dom, odds)
+        assert kept[0] and all(kept[dom.up[i]] for i in range(1, n) if kept[i]) and abs(sum(w for w, k in zip(worth, kept) if k) - best) < 1e-9
+
+
 def test_kept_nodes_have_kept_parents():
     rng = np.random.default_rng(1)
     dom = html.Dom()
