@@ -116,6 +116,45 @@ def test_nearest_neighbours(spark):
     assert ann.search(few, few).count() == 6 and ann.search(few.limit(0), few).count() == 0
 
 
+def test_inner_products_come_from_packed_bits():
+    rng = np.random.default_rng(3)
+    bits, y = rng.random((50, 512)) > 0.5, rng.normal(size=(7, 512)).astype(np.float32)
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T.copy()
+    got, error = ann.common_bits(words, y)
+    exact = y.astype(float) @ (bits * 2.0 - 1).T
+    assert (np.abs(got - exact) <= error[:, None]).mean() > 0.999 and error.max() < 0.05 * np.abs(y).sum(axis=1).min()
+
+
+def test_vectors_of_other_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    long, short = rng.normal(size=(40, 16)), rng.normal(size=(5, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate([*long, *short])] + [(0, long[0].tolist()), (3, [9.0] * 16), (None, long[1].tolist()), (50, [1.0] * 70)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.where("vec_id % 20 = 0 or vec_id in (41, 50)"), k=4).collect()
+    by = {q: [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20, 40, 41, 50)}
+    assert by[50] == [] and [len(by[q]) for q in (0, 20, 40, 41)] == [4] * 4
+    for q, all_, first in ((0, long, 0), (20, long, 0), (41, short, 40)):
+        d = np.sqrt(((all_ - all_[q - first]) ** 2).sum(axis=1))
+        d[q - first] = np.inf
+        assert [v for _, v in by[q]] == (np.argsort(d)[:4] + first).tolist()
+
+
+def test_cells_far_away_are_not_met(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(20, 24)) * 50)[rng.integers(20, size=1500)] + rng.normal(size=(1500, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    met = []
+    keep = ann.written
+    monkeypatch.setattr(ann, "written", lambda df, name: (met.append(out.count()) if name == "probes" else None, out)[1] if (out := keep(df, name)) is not None else out)
+    got = ann.search(vectors, vectors.where("vec_id % 10 = 0")).collect()
+    cells = len(x) // 32
+    assert len(got) == 1500 and met[1] < 0.4 * 150 * cells  # of all pairs of a query and a cell
+    for q in range(0, 1500, 150):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert len(set(np.argsort(d)[:10]) & {r["vec_id"] for r in got if r["query_id"] == q}) >= 9
+
+
 def test_pipeline_is_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "pii", "packing"]
