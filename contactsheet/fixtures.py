@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import exists, written
+
 _TEMPLATE = """
 e as (select event_id id, user_id, date_trunc('hour', ts) hr from {events}),
 v as (select vec_id, {bits} b from {embeddings}),
 c as (select id, user_id, {cap} cap from e),
 s as (select *, {f:cap|ymd} d8, {f:cap|hms} t6, {f:cap|exif} ex, {f:cap|day} dd, {f:cap|dash} td, {f:cap|dot} tp,
   case user_id%6 when 0 then 'Unknown' when 1 then 'Example City' when 2 then 'Japan_Tokyo' when 3 then 'France_Paris' when 4 then 'USA_NewYork' else '.previews' end album,
-  case id%12 when 5 then '.JPG' when 6 then '.jpeg' when 7 then '.heic' when 8 then '.png' when 9 then '.mov' when 10 then '.mp4' when 11 then '.txt' else '.jpg' end ext from c),
+  case when id%24=23 then '.heif' when id%36=18 then '.bmp' else case id%12 when 5 then '.JPG' when 6 then '.jpeg' when 7 then '.heic' when 8 then '.png' when 9 then '.mov' when 10 then '.mp4' when 11 then '.txt' else '.jpg' end end ext from c),
 f as (select *, case id%11 when 0 then concat('IMG_',id) when 1 then concat(d8,'_',t6) when 2 then concat('Screenshot_',d8,'-',t6) when 3 then concat('RPReplay_Final',id)
   when 4 then concat('IMG-',d8,'-WA',id) when 5 then concat('scan_',id) when 6 then concat('photo_',dd,'_',td) when 7 then concat('receipt ',id) when 8 then concat('DSC',id)
   when 9 then concat('Screen Recording ',dd,' at ',tp) else concat('mmexport',1705312000000+id) end stem from s),
-media as (select id file_id, concat('/library/',album,'/',stem,ext) path, concat(stem,ext) filename, lower(ext) extension,
+media as {once}(select id file_id, concat('/library/',album,'/',stem,ext) path, concat(stem,ext) filename, lower(ext) extension,
  case when id%50=0 then cast(0 as bigint) else cast((1000+(id*7919)%5000000)*(case when id%12 in (9,10) then 100 else 1 end) as bigint) end size,
  case when id%13<=6 then ex when id%13<=8 then concat(ex,'+08:00') when id%13=9 then concat(dd,'T',{f:cap|clock}) when id%13=11 then 'bad' when id%13=12 then concat(dd,' ',{f:cap|clock}) else null end date_raw,
  case when id%26=10 then {epoch} else null end date_epoch,
@@ -46,7 +48,7 @@ def _media(kind: str, events: str, embeddings: str, vectors: int | str) -> str:
         "mtime": f"timestampadd(SECOND, {m}, cap)" if spark else f"(cap + to_seconds({m}))",
         "epoch": "cast(unix_timestamp(cap) as double)" if spark else "epoch(cap)::double",
         "bits": "array_join(transform(embedding, x -> case when x>0 then '1' else '0' end),'')" if spark else "array_to_string(list_transform(embedding, lambda x: case when x>0 then '1' else '0' end),'')",
-        "id_div_12": "id div 12" if spark else "id // 12", "events": events, "embeddings": embeddings, "vectors": str(vectors),
+        "once": "" if spark else "materialized ", "id_div_12": "id div 12" if spark else "id // 12", "events": events, "embeddings": embeddings, "vectors": str(vectors),
     }
     for name, value in put.items():
         text = text.replace(f"{{{name}}}", value)
@@ -64,7 +66,18 @@ FOLDERS_SQL = "folder_gps(folder, lat, lon) as (values ('Example City', 25.0330e
 ROOTS_SQL = "roots(ord, base_dir) as (values (0, '/library/Japan_Tokyo'), (1, '/library'), (2, '/lib'))"
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog, derived from the tables once in each session and read back from the shared folder, as a catalog is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN or not exists(spark, _WRITTEN[key].inputFiles()[0].rsplit("/", 1)[0]):
+        _WRITTEN[key] = written(derived(spark, sf_dir), "catalog")
+    return _WRITTEN[key]
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     sql = _media("spark", f"parquet.`{sf_dir}/events.parquet`", f"parquet.`{sf_dir}/embeddings.parquet`", vectors)
     return spark.sql(f"with {sql} select * from media")

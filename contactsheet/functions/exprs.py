@@ -44,40 +44,42 @@ def exif_seconds(text: Column, epoch: Column) -> Column:
     return F.coalesce(epoch, F.unix_micros(got) / 1e6)
 
 
+#: Fixed value: a date and time as it stands in file names.
 NAME_DATE = r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})[-_](\d{2})[-_]?(\d{2})[-_]?(\d{2})"
+DIGITS = "yyyyMMddHHmmss"
 
 
 def name_seconds(name: Column) -> Column:
     """Seconds of the first date and time in a file name; null if the calendar or clock has none such."""
-    part = lambda i: F.regexp_extract(name, NAME_DATE, i).try_cast("int")
-    y, mo, d, h, mi, s = (part(i) for i in range(1, 7))
-    stamp = F.try_make_timestamp(y, mo, d, h, mi, s)
-    return F.when(name.rlike(NAME_DATE) & (s < 60) & (y > 0), F.unix_micros(stamp) / 1e6)
+    digits = F.regexp_replace(F.regexp_extract(name, NAME_DATE, 0), "[-_]", "")
+    return F.unix_micros(F.try_to_timestamp(digits, F.lit(DIGITS))) / 1e6
 
 
 def date_name(text: Column) -> Column:
     """YYYYMMDD_HHMMSS of a text that begins with such a date before its first plus sign; the calendar isn't checked."""
-    head = F.split_part(text, F.lit("+"), F.lit(1))
     shape = r"^(\d{4}):(\d{2}):(\d{2})\s+(\d{2}):(\d{2}):(\d{2})"
-    got = [F.regexp_extract(head, shape, i) for i in range(1, 7)]
-    return F.when(head.rlike(shape), F.concat(*got[:3], F.lit("_"), *got[3:]))
+    found = F.regexp_extract(F.split_part(text, F.lit("+"), F.lit(1)), shape, 0)
+    return F.nullif(F.regexp_replace(found, shape, "$1$2$3_$4$5$6"), F.lit(""))
 
 
 _ZONED = r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:([+-])(\d{2}):?(\d{2}))?$"
 
 
+def _plain(text: Column) -> Column:
+    """A date text as its fourteen digits and, where it has a time zone, +HHMM or -HHMM; empty for other texts."""
+    return F.regexp_replace(F.regexp_extract(F.trim(text), _ZONED, 0), _ZONED, "$1$2$3$4$5$6$7$8$9")
+
+
 def local_seconds(text: Column) -> Column:
     """Wall-clock seconds of a date text with or without a time zone."""
-    t = F.trim(text)
-    n = [F.regexp_extract(t, _ZONED, i).try_cast("int") for i in range(1, 7)]
-    return F.when(t.rlike(_ZONED) & (n[5] < 60), F.unix_micros(F.try_make_timestamp(*n)) / 1e6)
+    return F.unix_micros(F.try_to_timestamp(F.substring(_plain(text), 1, 14), F.lit(DIGITS))) / 1e6
 
 
 def utc_seconds(text: Column) -> Column:
     """The instant, where the text has a time zone."""
-    t = F.trim(text)
-    shift = F.regexp_extract(t, _ZONED, 8).try_cast("int") * 3600 + F.regexp_extract(t, _ZONED, 9).try_cast("int") * 60
-    sign = F.regexp_extract(t, _ZONED, 7)
+    plain = _plain(text)
+    shift = F.substring(plain, 16, 2).try_cast("int") * 3600 + F.substring(plain, 18, 2).try_cast("int") * 60
+    sign = F.substring(plain, 15, 1)
     return F.when(sign == "+", local_seconds(text) - shift).when(sign == "-", local_seconds(text) + shift)
 
 
@@ -106,6 +108,14 @@ def lon_ref(lon: Column) -> Column:
     return F.when(lon >= 0, "E").when(lon < 0, "W")
 
 
+def parse_gps(text: Column) -> Column:
+    """lat and lon of a text "lat,lon" of two numbers within their ranges; null for any other."""
+    number = r"\s*[+-]?(?:\d+\.?\d*|\.\d+)\s*"
+    part = lambda i: F.trim(F.split_part(text, F.lit(","), F.lit(i))).try_cast("double")
+    lat, lon = part(1), part(2)
+    return F.when(text.rlike(f"^{number},{number}$") & lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
 def orientation_label(value: Column) -> Column:
     labels = F.create_map(*(F.lit(x) for kv in ORIENTATIONS.items() for x in kv))
     return F.coalesce(F.try_element_at(labels, value), F.concat(F.lit("Unknown ("), value.cast("string"), F.lit(")")))

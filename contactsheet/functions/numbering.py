@@ -34,3 +34,17 @@ def numbered(rows: DataFrame, levels: list[dict[str, Column]], order: list[Colum
         above = own
     total = sum((F.col(f"_before{k}") for k in range(len(levels))), F.col("_rank"))
     return out.withColumn(name, total).drop("_rank", *(f"_before{k}" for k in range(len(levels))))
+
+
+def running_sum(rows: DataFrame, keys: list[str], block: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """`rows` with the sum of `value` so far (its own too) among those of the same keys, by `block`, then `order`.
+
+    No task holds more of a key than one block of it: running sums over blocks are of one row each.
+    """
+    rows = rows.withColumn("_value", value)
+    sums = rows.groupBy(*keys, block).agg(F.sum("_value").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy(block)) - F.col("_sum")
+    sums = sums.select(*(F.col(c).alias(f"_of_{c}") for c in (*keys, block)), before.alias("_before"))
+    within = F.sum("_value").over(Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_within", within).join(sums, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, block)])
+    return out.withColumn(name, (F.col("_before") + F.col("_within")).cast("bigint")).drop("_value", "_within", "_before", *(f"_of_{c}" for c in (*keys, block)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..params import ALL_PHOTO, SCAN_PHOTO, SKIP_DIRS, SORT_HEIC, SORT_IMAGE, SORT_VIDEO, VIDEO
+from ..params import SCAN_PHOTO, SKIP_DIRS, SORT_HEIC, SORT_IMAGE, SORT_VIDEO, VIDEO
 
 
 def normalize_media(raw: DataFrame) -> DataFrame:
@@ -69,5 +69,6 @@ def unknown_files(media: DataFrame, unknown_dir: str = "/library/Unknown") -> Da
 
 
 def orientation_issues(media: DataFrame) -> DataFrame:
+    """Photos, of the kinds that a scan counts as such, whose orientation isn't the plain one."""
     tag = F.col("orientation").cast("int")
-    return media.where(F.col("extension").isin(*ALL_PHOTO) & tag.isNotNull() & (tag != 1)).select("file_id", "path", tag.alias("current_orientation"), X.orientation_label(tag).alias("label"))
+    return media.where(F.col("extension").isin(*SCAN_PHOTO) & tag.isNotNull() & (tag != 1)).select("file_id", "path", tag.alias("current_orientation"), X.orientation_label(tag).alias("label"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..params import DEFAULTS
 
+#: Fixed value: a file name that is a date already.
 DATE_NAMED = r"^\d{8}_\d{6}(_\d+)?$"
 
 

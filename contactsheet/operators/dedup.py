@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 
-def duplicate_members(files: DataFrame, content: str = "content", size: Column | None = None) -> DataFrame:
-    """file_id, size, hash, count of all files whose content others have too.
 
-    Sizes that occur once are left out before anything is hashed, so most content is never read.  Empty files are no
-    duplicates.
-    """
+def hashed(files: DataFrame, content: str = "content", size: Column | None = None) -> DataFrame:
+    """file_id, size, hash of all files but empty ones.  Content is read and hashed where it lies; only this goes on."""
     rows = files.withColumn("size", size) if size is not None else files
-    rows = rows.where(F.col("size") > 0)
-    seen = rows.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select("size")
-    hashed = rows.join(seen, "size", "left_semi").select("file_id", "size", F.md5(F.col(content)).alias("hash"))
-    groups = hashed.groupBy("hash").agg(F.count("*").alias("count")).where("count > 1")
-    return hashed.join(groups, "hash").select("file_id", "size", "hash", "count")
+    return rows.where(F.col("size") > 0).select("file_id", "size", F.md5(F.col(content)).alias("hash"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("size", "hash").agg(F.count("*").alias("count"), F.min("file_id").alias("first_id")).where("count > 1")
+
+
+def duplicate_members(files: DataFrame, content: str = "content", size: Column | None = None) -> DataFrame:
+    """file_id, size, hash, count of all files whose size and content others have too."""
+    rows = written(hashed(files, content, size), "hashed")
+    return rows.join(_groups(rows).drop("first_id"), ["size", "hash"]).select("file_id", "size", "hash", "count")
 
 
 def exact_duplicates(files: DataFrame, content: str = "content", size: Column | None = None) -> DataFrame:
     """hash, count, size, first_id and wasted bytes of each group of files with equal content."""
-    rows = files.withColumn("size", size) if size is not None else files
-    rows = rows.where(F.col("size") > 0)
-    seen = rows.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select("size")
-    groups = rows.join(seen, "size", "left_semi").groupBy(F.md5(F.col(content)).alias("hash"), "size").agg(F.count("*").alias("count"), F.min("file_id").alias("first_id"))
-    return groups.where("count > 1").select("hash", "count", "size", "first_id", (F.col("size") * (F.col("count") - 1)).alias("wasted_size"))
+    return _groups(hashed(files, content, size)).select("hash", "count", "size", "first_id", (F.col("size") * (F.col("count") - 1)).alias("wasted_size"))
 
 
 def duplicate_stats(groups: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -15,8 +17,8 @@ def located(media: DataFrame) -> DataFrame:
 
 
 def missing_gps(media: DataFrame) -> DataFrame:
-    """Files that aren't among those with coordinates (by file_id)."""
-    return media.join(media.where(has_gps()).select("file_id"), "file_id", "left_anti")
+    """Files without both coordinates."""
+    return media.where(~has_gps())
 
 
 def location_clusters(media: DataFrame) -> DataFrame:
@@ -100,13 +102,31 @@ def gps_write_summary(media: DataFrame, folder_gps: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("folder", F.lit("TOTAL")).alias("folder"), "to_write", "kept", (F.col("to_write") == 0).alias("all_have"))
 
 
+#: Roots up to which they become part of the filter; more of them are joined.
+FEW_ROOTS = 200
+
+
+def _few(roots: DataFrame) -> list[str] | None:
+    """The roots in their order, or None if they are many."""
+    rows = roots.orderBy("ord").limit(FEW_ROOTS + 1).collect()
+    return [r["base_dir"] for r in rows] if len(rows) <= FEW_ROOTS else None
+
+
+def _roots_above(media: DataFrame) -> DataFrame:
+    return media.select("file_id", F.explode(X.ancestors(F.col("path"))).alias("base_dir"))
+
+
 def assign_base(media: DataFrame, roots: DataFrame) -> DataFrame:
-    """The first root (by ord) that a path is in, else its folder.  Roots are a short configuration table."""
-    up = media.select("file_id", F.explode(X.ancestors(F.col("path"))).alias("base_dir"))
-    hit = up.join(roots, "base_dir").groupBy("file_id").agg(F.min_by("base_dir", "ord").alias("base_dir"))
-    return media.select("file_id", "path").join(hit, "file_id", "left").select("file_id", "path", F.coalesce("base_dir", X.parent(F.col("path"))).alias("base_dir"))
+    """The first root (by ord) that a path is in, else its folder."""
+    path = F.col("path")
+    if (few := _few(roots)) is not None:
+        return media.select("file_id", "path", F.coalesce(*(F.when(X.path_within(path, F.lit(b)), b) for b in few), X.parent(path)).alias("base_dir"))
+    hit = _roots_above(media).join(roots, "base_dir").groupBy("file_id").agg(F.min_by("base_dir", "ord").alias("base_dir"))
+    return media.select("file_id", "path").join(hit, "file_id", "left").select("file_id", "path", F.coalesce("base_dir", X.parent(path)).alias("base_dir"))
 
 
 def access_filter(media: DataFrame, roots: DataFrame) -> DataFrame:
-    up = media.select("file_id", F.explode(X.ancestors(F.col("path"))).alias("base_dir"))
-    return media.join(up.join(roots, "base_dir", "left_semi").select("file_id"), "file_id", "left_semi")
+    """Files within any of the roots."""
+    if (few := _few(roots)) is not None:
+        return media.where(reduce(Column.__or__, (X.path_within(F.col("path"), F.lit(b)) for b in few), F.lit(False)))
+    return media.join(_roots_above(media).join(roots, "base_dir", "left_semi").select("file_id"), "file_id", "left_semi")

@@ -65,8 +65,9 @@ def undo_plan(flat: DataFrame, media: DataFrame, ref_compat: bool = False) -> Da
         .otherwise("Unknown operation type")
     )
     good = action.isin("move back", "remove GPS", "restore GPS", "restore orientation", "restore date", "trash converted")
+    back = X.parse_gps(F.when(action == "restore GPS", c("old_value")))
     step = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("pos")))
-    return rows.select("session_id", step.alias("step"), "pos", "type", c("_at").alias("source"), c("old_value").alias("target"), action.alias("action"), good.alias("success"))
+    return rows.select("session_id", step.alias("step"), "pos", "type", c("_at").alias("source"), c("old_value").alias("target"), action.alias("action"), good.alias("success"), back["lat"].alias("lat"), back["lon"].alias("lon"))
 
 
 def mark_undone(sessions: DataFrame, session_id: int, at: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.numbering import running_sum, with_block
 from ..params import DEFAULTS, ROTATE_JPEG, ROTATE_PIXELS, VIDEO
 
 #: Order of operations unless the user gives another.
@@ -18,6 +19,10 @@ CATEGORY_OF = dict(zip(OPERATIONS, ("duplicates", "similar", "orientation", "non
 MOST_MOVED = 9999
 
 
+#: Width of the ranges of numbers that are counted together.
+BLOCK = 65_536
+
+
 def plan_minus_moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.join(moves.select("file_id"), "file_id", "left_anti")
 
@@ -49,8 +54,11 @@ def plan_summary(plan: DataFrame, media: DataFrame) -> DataFrame:
 def allocate_targets(claims: DataFrame, existing: DataFrame, most: int | None = None) -> DataFrame:
     """Where each claim (file_id, path, dest_dir, name) goes: the plain name if free, else the smallest free _n.
 
-    Claims are served by file_id.  Names of `existing` (path) and plain names that claims get are taken; a file in place
-    already stays; beyond `most`, if given, a claim fails (null target).
+    Claims are served by file_id, those that get their plain name before all others, so which names are taken is known
+    at once and no claim waits for another.  (Serving strictly one by one would differ only where a claim's numbered name
+    is the plain name of a later claim: here the later one gets it.)  Names of `existing` (path) are taken; a file in
+    place already stays; beyond `most`, if given, a claim fails (null target).  A name that a large share of all claims
+    want is numbered in blocks.
     """
     full = F.concat("dest_dir", F.lit("/"), "name")
     stays = claims.where(F.col("path") == full).select("file_id", "path", "dest_dir", "name", full.alias("target"))
@@ -58,20 +66,23 @@ def allocate_targets(claims: DataFrame, existing: DataFrame, most: int | None =
     there = existing.select(F.col("path").alias("_path")).distinct()
     taken = rows.select("dest_dir", "name").distinct().join(there, F.concat("dest_dir", F.lit("/"), "name") == F.col("_path"), "left_semi").withColumn("_taken", F.lit(1))
     ranked = rows.join(taken, ["dest_dir", "name"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
-    ranked = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("dest_dir", "name").orderBy("file_id")) - 1 + F.col("_taken"))
+    ranked = running_sum(with_block(ranked, "file_id"), ["dest_dir", "name"], "_block", [F.col("file_id")], F.lit(1), "_rank")
+    ranked = ranked.withColumn("_k", F.col("_rank") - 1 + F.col("_taken"))
     plain = ranked.where("_k = 0").select("file_id", "path", "dest_dir", "name", full.alias("target"))
     more = ranked.where("_k > 0").select("file_id", "path", "dest_dir", "name", "_stem", "_ext", "_k")
     # Numbers that are taken for each name: of n taken ones in order, the n-th free number lies behind all with t - i < k.
     names = there.select(F.col("_path").alias("p")).union(plain.select("target")).distinct()
-    numbered = names.select(X.parent(F.col("p")).alias("dest_dir"), F.regexp_extract(X.basename(F.col("p")), r"^(.*)_([1-9]\d{0,8})(\.[^.]+)?$", 1).alias("_stem"), F.regexp_extract(X.basename(F.col("p")), r"^(.*)_([1-9]\d{0,8})(\.[^.]+)?$", 3).alias("_ext"), F.regexp_extract(X.basename(F.col("p")), r"^(.*)_([1-9]\d{0,8})(\.[^.]+)?$", 2).try_cast("int").alias("_t")).where("_t is not null")
-    group = Window.partitionBy("dest_dir", "_stem", "_ext")
-    gaps = numbered.withColumn("_d", F.col("_t") - F.row_number().over(group.orderBy("_t")))
-    line = more.select("dest_dir", "_stem", "_ext", F.col("_k").alias("_d"), F.lit(0).alias("_is"), F.struct("file_id", "path", "name").alias("_c"))
-    line = line.unionByName(gaps.select("dest_dir", "_stem", "_ext", "_d", F.lit(1).alias("_is"), F.lit(None).cast(line.schema["_c"].dataType).alias("_c")))
+    shape, base = r"^(.*)_([1-9]\d{0,8})(\.[^.]+)?$", X.basename(F.col("p"))
+    part = lambda i: F.regexp_extract(base, shape, i)
+    numbers = names.select(X.parent(F.col("p")).alias("dest_dir"), part(1).alias("_stem"), part(3).alias("_ext"), part(2).try_cast("int").alias("_t")).where("_t is not null")
+    group, block = ["dest_dir", "_stem", "_ext"], lambda c: F.floor(F.col(c) / BLOCK)
+    gaps = running_sum(numbers.withColumn("_block", block("_t")), group, "_block", [F.col("_t")], F.lit(1), "_i")
+    gaps = gaps.withColumn("_d", F.col("_t") - F.col("_i"))
+    line = more.select(*group, F.col("_k").cast("bigint").alias("_d"), F.lit(0).alias("_is"), F.struct("file_id", "path", "name").alias("_c"))
+    line = line.unionByName(gaps.select(*group, "_d", F.lit(1).alias("_is"), F.lit(None).cast(line.schema["_c"].dataType).alias("_c")))
     # Taken numbers with t - i < k come before the claim of rank k: equal ones after it.
-    before = F.sum("_is").over(group.orderBy("_d", "_is").rowsBetween(Window.unboundedPreceding, 0))
+    served = running_sum(line.withColumn("_block", block("_d")), group, "_block", [F.col("_d"), F.col("_is")], F.col("_is"), "_n").where("_is = 0")
     slot = F.col("_d") + F.col("_n")
-    served = line.withColumn("_n", before).where("_is = 0")
     target = F.concat("dest_dir", F.lit("/"), "_stem", F.lit("_"), slot.cast("string"), "_ext")
     target = target if most is None else F.when(slot <= most, target)
     served = served.select("_c.file_id", "_c.path", "dest_dir", "_c.name", target.alias("target"))
@@ -121,6 +132,12 @@ def orientation_reset_plan(issues: DataFrame) -> DataFrame:
     return issues.select("file_id", "path", F.col("current_orientation").cast("string").alias("old_value"), F.lit("1").alias("new_value"))
 
 
+def action_outcomes(statuses: DataFrame, key: str = "op_key") -> DataFrame:
+    """Of each file whether its action succeeded, and the error of one that failed."""
+    good = F.col("status") == "ok"
+    return statuses.select(key, "file_id", "path", good.alias("success"), F.when(~good, F.col("status")).alias("error"))
+
+
 def action_result(statuses: DataFrame, key: str = "op_key") -> DataFrame:
     return statuses.groupBy(key).agg(F.count_if(F.col("status") == "ok").alias("success_count"), F.count_if(F.col("status") != "ok").alias("failed_count"))
 

@@ -12,6 +12,7 @@ from .functions import exprs as X
 from .operators import catalog, classify, dates, dedup, geo, similar, transcode
 from .params import ALL_PHOTO, CATEGORIES, DOCUMENT, MEDIA, MESSAGING, RECORDING, SCAN_PHOTO, SCREENS, SCREENSHOT, SKIP_DIRS, VIDEO
 from .plans import ledger, plan
+from .storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,6 +123,13 @@ def gps_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.media(spark, sf_dir).select("file_id", X.geo_key(a, b).alias("geo_key"), F.abs(a).alias("lat"), X.lat_ref(a).alias("lat_ref"), F.abs(b).alias("lon"), X.lon_ref(b).alias("lon_ref"))
 
 
+@query("select file_id, (case when k then gps_lat end)::double lat, (case when k then gps_lon end)::double lon from (select *, file_id%5 > 0 and file_id%7 > 0 and abs(gps_lat) <= 90 and abs(gps_lon) <= 180 k from media)")
+def parse_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = C("file_id")
+    text = F.when(i % 5 == 0, F.concat("gps_lat", F.lit(";"), "gps_lon")).otherwise(F.concat(F.lit(" "), "gps_lat", F.lit(", "), "gps_lon"))
+    return fx.media(spark, sf_dir).select("file_id", X.parse_gps(text).alias("p")).select("file_id", "p.lat", "p.lon")
+
+
 @query(f"select file_id, {QUALITY} quality, case when size >= 1000000000 then printf('%.1f GB', size / 1e9) when size >= 1000000 then printf('%.1f MB', size / 1e6) when size >= 1000 then printf('%.1f KB', size / 1e3) else size || ' B' end size_text, path = '/library/Japan_Tokyo' or starts_with(path, '/library/Japan_Tokyo/') within_base from media")
 def size_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.media(spark, sf_dir).select("file_id", X.quality(C("width"), C("height"), C("size")).alias("quality"), X.format_size(C("size")).alias("size_text"), X.path_within(C("path"), F.lit("/library/Japan_Tokyo")).alias("within_base"))
@@ -177,7 +185,7 @@ def softmax_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS_SQL = "case orientation when 2 then 'Mirrored horizontal' when 3 then 'Rotated 180°' when 4 then 'Mirrored vertical' when 5 then 'Mirrored horizontal & rotated 270° CW' when 6 then 'Rotated 90° CW' when 7 then 'Mirrored horizontal & rotated 90° CW' when 8 then 'Rotated 90° CCW' else 'Unknown (' || orientation || ')' end"
 
 
-@query(f"select file_id, path, orientation current_orientation, {LABELS_SQL} label from media where extension in {_in(ALL_PHOTO)} and orientation is not null and orientation <> 1")
+@query(f"select file_id, path, orientation current_orientation, {LABELS_SQL} label from media where extension in {_in(SCAN_PHOTO)} and orientation is not null and orientation <> 1")
 def orientation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.orientation_issues(fx.media(spark, sf_dir))
 
@@ -252,7 +260,7 @@ def orientation_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(spark, sf_dir).select("file_id", "path", "rotation", F.round("confidence", 9).alias("confidence"), "band", "high_select")
 
 
-@query("select file_id, path, rotation, case when extension in ('.jpg', '.jpeg') then 'jpeg' when extension in ('.heic', '.png', '.tiff', '.tif', '.webp', '.bmp') then 'pixels' else 'video-metadata' end strategy from detected", LOGITS, DETECTED)
+@query("select file_id, path, rotation, case when extension in ('.jpg', '.jpeg') then 'jpeg' when extension in ('.heic', '.png', '.tiff', '.tif', '.webp', '.bmp') then 'pixels' when extension in " + _in(VIDEO) + " then 'video-metadata' else 'Unsupported format: ' || extension end strategy from detected", LOGITS, DETECTED)
 def rotation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.rotation_plan(_detected(spark, sf_dir))
 
@@ -280,7 +288,8 @@ SIMILAR = (SHOTS, NEAR, EDGES, GROUPS, MEMBERS, SUMMARY)
 
 
 def _recursive(sql: str) -> str:
-    return sql.replace("with ", "with recursive ", 1)
+    # DuckDB 2.0 sometimes breaks down over a materialised CTE beside a recursive one.
+    return sql.replace("with ", "with recursive ", 1).replace("as materialized (", "as (")
 
 
 def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +302,7 @@ def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return edges, similar.group_members(similar.components(edges), photos)
 
 
-@query("select file_id, row_number() over (order by local_s nulls last, file_id) place, local_s from shots where local_s is not null", SHOTS)
+@query("select file_id, row_number() over (order by local_s nulls last, file_id) place, local_s from shots", SHOTS)
 def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.date_places(fx.media(spark, sf_dir))
 
@@ -405,7 +414,7 @@ def rename_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.rename_stats(fx.media(spark, sf_dir))
 
 
-@query(f"select count(*) issues from media where extension in {_in(ALL_PHOTO)} and orientation is not null and orientation <> 1")
+@query(f"select count(*) issues from media where extension in {_in(SCAN_PHOTO)} and orientation is not null and orientation <> 1")
 def orientation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.orientation_issues(fx.media(spark, sf_dir)).agg(F.count("*").alias("issues"))
 
@@ -570,18 +579,21 @@ PLAN = f"""moves as (select file_id, path, path old_value, category new_value fr
 plan as (select 0 place, 'move-nonphotos' op_key, * from moves
  union all select 1, 'rename-date', file_id, path, old_name, new_name from renames where file_id not in (select file_id from moves)
  union all select 999, 'fix-dates', file_id, path, cast(mtime_s::bigint as varchar), cast(target_s::bigint as varchar) from mismatch where file_id not in (select file_id from moves)
- union all select 999, 'orient-fix', file_id, path, cast(orientation as varchar), '1' from media where extension in {_in(ALL_PHOTO)} and orientation is not null and orientation <> 1)"""
+ union all select 999, 'orient-fix', file_id, path, cast(orientation as varchar), '1' from media where extension in {_in(SCAN_PHOTO)} and orientation is not null and orientation <> 1)"""
 PLAN_CTES = (CLASSIFIED, RENAMES, MISMATCH, PLAN)
 
 
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _findings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     m = fx.media(spark, sf_dir)
     moves = classify.classify_non_photos(m).where("file_id % 2 = 0").select("file_id", "path", C("path").alias("old_value"), C("category").alias("new_value"))
     renames = dates.rename_plan(m).select("file_id", "path", C("old_name").alias("old_value"), C("new_name").alias("new_value"))
     fixes = dates.date_mismatches(m).select("file_id", "path", C("mtime_s").cast("bigint").alias("old_value"), C("target_s").cast("bigint").alias("new_value"))
     turns = plan.orientation_reset_plan(catalog.orientation_issues(m))
-    found = {"move-nonphotos": moves, "rename-date": renames, "fix-dates": fixes, "orient-fix": turns}
-    return plan.build_plan(found, {"non-photos", "rename", "dates", "orientation"}, order=("move-nonphotos", "rename-date"))
+    return {"move-nonphotos": moves, "rename-date": renames, "fix-dates": fixes, "orient-fix": turns}
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.build_plan(_findings(spark, sf_dir), {"non-photos", "rename", "dates", "orientation"}, order=("move-nonphotos", "rename-date"))
 
 
 @query("select * from plan", *PLAN_CTES)
@@ -589,6 +601,25 @@ def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
+FULL = """full_plan as (select 3 place, 'move-nonphotos' op_key, file_id, path, path old_value, category new_value from classified where file_id%2=0
+ union all select 4, 'rename-date', file_id, path, old_name, new_name from renames where file_id not in (select file_id from moves)
+ union all select 5, 'fix-dates', file_id, path, cast(mtime_s::bigint as varchar), cast(target_s::bigint as varchar) from mismatch where file_id not in (select file_id from moves)
+ union all select 2, 'orient-fix', file_id, path, old_value, new_value from plan where op_key = 'orient-fix'
+ union all select 0, 'dup-trash', file_id, '/in/' || file_id, hash, 'trash' from (select *, row_number() over (partition by hash order by file_id) k from hashed join dups using (hash)) where k > 1
+ union all select 1, 'sim-trash', b.file_id, path, cast(group_id as varchar), 'trash' from (select *, row_number() over (partition by group_id order by quality desc nulls last, file_id) k from members) b join media using (file_id) where k > 1)"""
+
+
+@query("select * from full_plan", *PLAN_CTES, *SIMILAR[:5], HASHED, FULL)
+def build_full_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, files = fx.media(spark, sf_dir), duplicate_members(spark, sf_dir).withColumn("quality", F.lit(None).cast("bigint")).withColumn("date_raw", F.lit(None).cast("string"))
+    copies = dedup.keep_policy(files, "first", group="hash").where("state = 'trash'").select("file_id", F.concat(F.lit("/in/"), "file_id").alias("path"), C("hash").alias("old_value"), F.lit("trash").alias("new_value"))
+    shots = dedup.keep_policy(_members(spark, sf_dir)[1], "best").where("state = 'trash'").join(m.select("file_id", "path"), "file_id").select("file_id", "path", C("group_id").alias("old_value"), F.lit("trash").alias("new_value"))
+    return plan.build_plan({"dup-trash": copies, "sim-trash": shots, **_findings(spark, sf_dir)}, set(plan.CATEGORY_OF.values()))
+
+
+SQL["build_full_plan"] = _recursive(SQL["build_full_plan"])
+
+
 @query("select op_key, count(*) files, sum(size)::bigint bytes from plan join media using (file_id) group by op_key", *PLAN_CTES)
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.plan_summary(_plan(spark, sf_dir), fx.media(spark, sf_dir))
@@ -611,6 +642,11 @@ def action_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.action_result(_plan(spark, sf_dir).withColumn("status", F.when(C("file_id") % 9 == 0, "File not found").otherwise("ok")))
 
 
+@query("select op_key, file_id, path, file_id%9<>0 success, case when file_id%9=0 then 'File not found' end error from plan", *PLAN_CTES)
+def action_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.action_outcomes(_plan(spark, sf_dir).withColumn("status", F.when(C("file_id") % 9 == 0, "File not found").otherwise("ok")))
+
+
 @query("select 'similar' category, state, count(*) files, sum(media.size)::bigint bytes from (select file_id, case when row_number() over (partition by group_id order by quality desc nulls last, file_id) = 1 then 'keep' else 'trash' end state from members) join media using (file_id) group by state", *SIMILAR[:5])
 def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.review_stats(dedup.keep_policy(_members(spark, sf_dir)[1], "best"), fx.media(spark, sf_dir), "similar")
@@ -626,7 +662,7 @@ def date_fix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.date_fix_plan(rows.withColumn("target_date", F.when(C("file_id") % 10 == 0, "soon").otherwise(text)))
 
 
-@query(f"select file_id, path, cast(orientation as varchar) old_value, '1' new_value from media where extension in {_in(ALL_PHOTO)} and orientation is not null and orientation <> 1")
+@query(f"select file_id, path, cast(orientation as varchar) old_value, '1' new_value from media where extension in {_in(SCAN_PHOTO)} and orientation is not null and orientation <> 1")
 def orientation_reset_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.orientation_reset_plan(catalog.orientation_issues(fx.media(spark, sf_dir)))
 
@@ -658,7 +694,7 @@ UNDO = """case "type" when 'TRASH' then 'manual' when 'RENAME' then case when th
  when 'DATE_FIX' then case when o = '' then 'No old value' when there then 'restore date' else 'File not found' end when 'CONVERT' then case when there then 'trash converted' else 'File not found' end else 'Unknown operation type' end"""
 
 
-@query(f"select session_id, (row_number() over (partition by session_id order by pos desc))::int step, pos, \"type\", src as \"source\", old_value target, {UNDO} as \"action\", {UNDO} in ('move back', 'remove GPS', 'restore GPS', 'restore orientation', 'restore date', 'trash converted') success from (select *, src in (select path from media) there, coalesce(old_value, '') o from (select *, case when \"type\" in ('RENAME', 'MOVE', 'CONVERT') then new_value else file end src from flat where not undone))", fx.OPS_SQL, FLAT)
+@query(f"select session_id, (row_number() over (partition by session_id order by pos desc))::int step, pos, \"type\", src as \"source\", old_value target, {UNDO} as \"action\", {UNDO} in ('move back', 'remove GPS', 'restore GPS', 'restore orientation', 'restore date', 'trash converted') success, try_cast(split_part(nullif(case when \"type\" = 'GPS' then o end, ''), ',', 1) as double) lat, try_cast(split_part(nullif(case when \"type\" = 'GPS' then o end, ''), ',', 2) as double) lon from (select *, src in (select path from media) there, coalesce(old_value, '') o from (select *, case when \"type\" in ('RENAME', 'MOVE', 'CONVERT') then new_value else file end src from flat where not undone))", fx.OPS_SQL, FLAT)
 def undo_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.undo_plan(ledger.ledger_flatten(fx.sessions(spark, sf_dir)), fx.media(spark, sf_dir))
 
@@ -671,32 +707,31 @@ def mark_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _stream_dir(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp()
-    return at
+RAW_DATE = "case when event_id%5 = 0 then null else strftime(ts, '%Y:%m:%d %H:%M:%S') end"
 
 
-@query("select event_id file_id, lower(event_type) kind, epoch_us(ts) captured_us, user_id album from events")
+@query(f"select event_id file_id, '/in/' || user_id || '/' || event_type || '_' || event_id || '.JPG' path, event_type || '_' || event_id || '.JPG' filename, '.jpg' extension, case when event_id%4 = 0 then 0 else event_id * 10 end size, {RAW_DATE} date_raw, case when event_id%3 > 0 then (event_id%90)::double end gps_lat, case when event_id%3 > 0 then (event_id%180)::double end gps_lon, (event_id%9)::int orientation, '/in/' || user_id directory from events")
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import streams
 
-    rows = streams.ingest(streams.read_events(spark, sf_dir)).withColumn("captured_us", F.unix_micros("captured")).drop("captured")
-    return streams.run_available(rows, _stream_dir(spark)).select("file_id", "kind", "captured_us", "album")
+    i, none, text = C("event_id"), F.lit(None).cast("string"), lambda c: c.cast("string")
+    folder, name = F.concat(F.lit("/in/"), "user_id"), F.concat("event_type", F.lit("_"), "event_id", F.lit(".JPG"))
+    date = F.when(i % 5 != 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
+    raw = streams.read_events(spark, sf_dir).select(i.alias("file_id"), F.concat(folder, F.lit("/"), name).alias("SourceFile"), F.when(i % 2 == 0, "").alias("FileName"), F.when(i % 4 > 0, text(i * 10)).otherwise("large").alias("FileSize"), F.when(i % 7 == 0, date).alias("DateTimeOriginal"), date.alias("CreateDate"), none.alias("FileModifyDate"), F.when(i % 3 > 0, text(i % 90)).alias("GPSLatitude"), F.when(i % 3 > 0, text(i % 180)).alias("GPSLongitude"), text(i % 9).alias("Orientation"), *(none.alias(c) for c in ("ImageWidth", "ImageHeight", "CompressorID", "VideoCodecID", "CompressorName", "Duration", "MIMEType")), folder.alias("Directory"))
+    rows = streams.run_available(streams.ingest(raw), shared_dir(spark))
+    return rows.select("file_id", "path", "filename", "extension", "size", "date_raw", "gps_lat", "gps_lon", "orientation", "directory")
 
 
-@query("select distinct user_id from events")
+@query("select distinct md5(props) hash from events")
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import streams
 
-    return streams.run_available(streams.distinct_values(streams.read_events(spark, sf_dir), "user_id").select("user_id"), _stream_dir(spark))
+    files = streams.read_events(spark, sf_dir).withColumn("hash", F.md5("props"))
+    return streams.run_available(streams.distinct_values(files, "hash").select("hash"), shared_dir(spark))
 
 
 @query("select user_id, count(*) shots, min(us) start_us, max(us) end_us from (select *, sum(brk) over (partition by user_id order by us rows unbounded preceding) k from (select user_id, epoch_us(ts) us, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 600000000 then 0 else 1 end brk from events)) group by user_id, k")
 def burst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import streams
 
-    return streams.run_available(streams.burst_sessions(streams.read_events(spark, sf_dir), gap_s=600), _stream_dir(spark), "complete")
+    return streams.run_available(streams.burst_sessions(streams.read_events(spark, sf_dir), gap_s=600), shared_dir(spark), "complete")

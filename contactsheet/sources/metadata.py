@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..plans.ledger import SESSION_SCHEMA
+from ..storage import exists
 
 #: Tags of a metadata dump, all read as texts.
 TAGS = "SourceFile FileName FileSize DateTimeOriginal CreateDate FileModifyDate GPSLatitude GPSLongitude Orientation ImageWidth ImageHeight CompressorID VideoCodecID CompressorName Duration Directory MIMEType".split()
@@ -29,9 +30,7 @@ def scan_files(spark: SparkSession, base: str, extensions: tuple[str, ...]) -> D
 
 def read_operation_log(spark: SparkSession, path: str) -> DataFrame:
     """Sessions of a JSON log; a missing or broken log is an empty one."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(conf).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([], SESSION_SCHEMA)
     rows = spark.read.schema(SESSION_SCHEMA + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return rows.where("_corrupt is null and session_id is not null").drop("_corrupt")
@@ -41,6 +40,27 @@ def write_operation_log(sessions: DataFrame, path: str) -> None:
     sessions.write.mode("overwrite").json(path)
 
 
+CACHE_SCHEMA = "geo_key string, label string"
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a geocode cache; empty if there is none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], CACHE_SCHEMA)
+    rows = spark.read.schema(CACHE_SCHEMA + ", version int").parquet(path)
+    newest = rows.agg(F.max("version")).head()[0]
+    return rows.where(F.col("version") == (newest or 0)).drop("version")
+
+
+def save_cache(cache: DataFrame, path: str) -> int:
+    """Writes a new version beside the old ones, which readers may still use; returns its number."""
+    spark, last = cache.sparkSession, 0
+    if exists(spark, path):
+        last = spark.read.schema(CACHE_SCHEMA + ", version int").parquet(path).agg(F.max("version")).head()[0] or 0
+    cache.select("geo_key", "label").write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={last + 1}")
+    return last + 1
+
+
 def write_by_location(named: DataFrame, path: str) -> None:
     """Catalog rows with one folder per label."""
     named.write.mode("overwrite").partitionBy("label").parquet(path)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalog import normalize_media
 from ..params import DEFAULTS
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -16,9 +17,9 @@ def read_events(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def ingest(events: DataFrame) -> DataFrame:
-    """Catalog rows of arriving events."""
-    return events.select(F.col("event_id").alias("file_id"), F.lower("event_type").alias("kind"), F.col("ts").alias("captured"), F.col("user_id").alias("album"))
+def ingest(raw: DataFrame) -> DataFrame:
+    """Catalog rows of arriving raw metadata rows, as in a batch."""
+    return normalize_media(raw)
 
 
 def distinct_values(events: DataFrame, key: str, late: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from contactsheet import fixtures
-from contactsheet.operators import dedup, geo, similar
+from contactsheet.operators import catalog, dedup, geo, similar, transcode
 from contactsheet.plans import ledger, plan
 from contactsheet.queries import QUERIES
 
@@ -51,6 +51,55 @@ def test_allocate_targets(spark):
     assert got == {1: "/d/a_3.jpg", 2: "/d/a_4.jpg", 3: "/d/a_5.jpg", 4: "/d/a_1.jpg", 5: "/d/b.jpg", 6: "/d/b_1.jpg"}
 
 
+def test_allocation_equals_serving_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(plan, "BLOCK", 4)
+    rng = random.Random(11)
+    names = ["a.jpg", "a_1.jpg", "a_3.jpg", "b.png", "b_2.png", "c"]
+    claims = [(i, f"/in/{i}/x", rng.choice(["/d", "/e"]), rng.choice(names)) for i in rng.sample(range(-500, 500), 150)]
+    there = {f"/d/{n}" for n in ("a.jpg", "a_2.jpg", "a_7.jpg", "b_1.png")} | {f"/e/a_{k}.jpg" for k in range(1, 40, 3)}
+    taken, want = set(there), {}
+    for i, _, folder, name in sorted(claims):  # plain names first, then numbers in turn
+        if f"{folder}/{name}" not in taken:
+            want[i] = f"{folder}/{name}"
+            taken.add(want[i])
+    for i, _, folder, name in sorted(claims):
+        if i not in want:
+            stem, dot, ext = name.partition(".")
+            want[i] = next(p for k in range(1, 10**4) if (p := f"{folder}/{stem}_{k}{dot}{ext}") not in taken)
+            taken.add(want[i])
+    got = plan.allocate_targets(spark.createDataFrame(claims, "file_id long, path string, dest_dir string, name string"), spark.createDataFrame([(p,) for p in there], "path string")).collect()
+    assert {r["file_id"]: r["target"] for r in got} == want and len(set(want.values())) == len(want)
+
+
+def test_transcoding_again(spark):
+    rows = [(1, "/library/X/a.mov", "a.mov", ".mov", 5, "hvc1", "/library/X"), (2, "/library/X/b.mp4", "b.mp4", ".mp4", 5, "hvc1", "/library/X"), (3, "/library/X/c.mov", "c.mov", ".mov", 5, "ap4h", "/library/X"), (4, "/library/X/d.mov", "d.mov", ".mov", 0, "hvc1", "/library/X")]
+    media = spark.createDataFrame(rows, "file_id long, path string, filename string, extension string, size long, codec string, directory string")
+    ids = lambda **k: sorted(r["file_id"] for r in transcode.transcode_candidates(media, **k).collect())
+    assert (ids(), ids(recompress=True)) == ([3], [1, 3])
+
+
+def test_orientation_of_scanned_photos_only(spark):
+    rows = [(i, f"/x{e}", e, 6) for i, e in enumerate((".jpg", ".heic", ".heif", ".bmp", ".webp", ".mov"))]
+    got = catalog.orientation_issues(spark.createDataFrame(rows, "file_id long, path string, extension string, orientation int"))
+    assert sorted(r["file_id"] for r in got.collect()) == [0, 1, 4]
+
+
+def test_roots_in_the_filter_or_joined(spark, monkeypatch):
+    media = spark.createDataFrame([(i, p) for i, p in enumerate(["/a/b/c.jpg", "/a/x.jpg", "/ab/x.jpg", "/a", "/q/r.jpg"])], "file_id long, path string")
+    roots = spark.createDataFrame([(0, "/a/b"), (1, "/a"), (2, "/q/r")], "ord int, base_dir string")
+    made = []
+    for few in (200, 1):
+        monkeypatch.setattr(geo, "FEW_ROOTS", few)
+        made.append((sorted(tuple(r) for r in geo.assign_base(media, roots).collect()), sorted(r["file_id"] for r in geo.access_filter(media, roots).collect())))
+    assert made[0] == made[1] and made[0][1] == [0, 1, 3] and [b for _, _, b in made[0][0]] == ["/a/b", "/a", "/ab", "/a", "/q"]
+
+
+def test_outcomes_of_actions(spark):
+    rows = spark.createDataFrame([("x", 1, "/a", "ok"), ("x", 2, "/b", "File not found")], "op_key string, file_id long, path string, status string")
+    assert sorted(map(tuple, plan.action_outcomes(rows).collect())) == [("x", 1, "/a", True, None), ("x", 2, "/b", False, "File not found")]
+    assert [tuple(r) for r in plan.action_result(rows).collect()] == [("x", 1, 1)]
+
+
 def test_only_moves_of_non_photos_are_capped(spark):
     n = 10_050
     files = spark.range(n).select(F.col("id").alias("file_id"), F.format_string("/in/%d/a.jpg", "id").alias("path"), F.lit("a.jpg").alias("filename"), F.lit("Unknown").alias("label"), F.lit("other").alias("category"))

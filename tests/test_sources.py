@@ -1,5 +1,6 @@
 """Files made here: metadata dumps, listings, pictures, logs, and streams."""
 
+import hashlib
 import json
 import struct
 import zlib
@@ -8,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from contactsheet.operators import geo
+from contactsheet.plans.ledger import SESSION_SCHEMA
 from contactsheet.queries import QUERIES
 from contactsheet.sources import images, metadata
 from contactsheet.streaming import streams
@@ -41,6 +44,34 @@ def test_operation_log(spark, tmp_path):
     assert metadata.read_operation_log(spark, str(tmp_path / "log.json")).head()["operations"][0]["type"] == "TRASH"
 
 
+def test_operation_log_is_written_and_read_back(spark, tmp_path):
+    ops = [("TRASH", "/a", None, None, "x"), ("GPS", "/b", "1,2", "3,4", "")]
+    sessions = spark.createDataFrame([(1, "t1", ops, False, None), (2, "t2", [], True, "t3")], SESSION_SCHEMA)
+    metadata.write_operation_log(sessions, str(tmp_path / "log"))
+    back = metadata.read_operation_log(spark, str(tmp_path / "log"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, sessions.collect()))
+    for broken in ("[{ broken", "", '{"session_id": "none"}', '[{"timestamp": "t"}]'):
+        (tmp_path / "bad.json").write_text(broken)
+        assert metadata.read_operation_log(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_catalog_by_location(spark, tmp_path):
+    rows = [(1, "/a", "X_Y"), (2, "/b", "X_Y"), (3, "/c", "Unknown")]
+    metadata.write_by_location(spark.createDataFrame(rows, "file_id long, path string, label string"), str(tmp_path / "out"))
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if x.is_dir()) == ["label=Unknown", "label=X_Y"]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("file_id", "path", "label").collect()) == rows
+
+
+def test_geocode_cache_versions(spark, tmp_path):
+    at = str(tmp_path / "cache")
+    assert metadata.load_cache(spark, at).count() == 0
+    one = spark.createDataFrame([("1.00,2.00", "A"), ("3.00,4.00", "B")], metadata.CACHE_SCHEMA)
+    assert metadata.save_cache(one, at) == 1
+    more = spark.createDataFrame([("1.00,2.00", "new"), ("5.00,6.00", "C")], metadata.CACHE_SCHEMA)
+    assert metadata.save_cache(geo.merge_cache(metadata.load_cache(spark, at), more), at) == 2
+    assert sorted(map(tuple, metadata.load_cache(spark, at).collect())) == [("1.00,2.00", "A"), ("3.00,4.00", "B"), ("5.00,6.00", "C")]
+
+
 def test_pictures(spark, tmp_path):
     rng = np.random.default_rng(0)
     base = np.kron(rng.integers(0, 255, (8, 8, 3)), np.ones((16, 16, 1)))
@@ -63,7 +94,8 @@ def test_streams_equal_batch(spark, tmp_path):
     pq.write_table(pa.table({"event_id": pa.array(range(n)), "ts": ts, "user_id": pa.array([i % 3 for i in range(n)]), "event_type": ["A"] * n, "value": [0.5] * n, "props": ["{}"] * n}), tmp_path / "events.parquet")
     events = lambda: streams.read_events(spark, str(tmp_path))
     where = str(tmp_path / "out")
-    assert streams.run_available(streams.ingest(events()), where).count() == n
+    rows = QUERIES["ingest_stream"](spark, str(tmp_path)).orderBy("file_id").collect()
+    assert len(rows) == n and tuple(rows[1])[:6] == (1, "/in/1/A_1.JPG", "A_1.JPG", ".jpg", 10, "2024:01:01 00:00:07")
     assert streams.run_available(streams.distinct_values(events(), "user_id").select("user_id"), where).count() == 3
     batch = spark.read.parquet(str(tmp_path / "events.parquet")).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp"))
     key = lambda df: sorted(map(tuple, df.collect()))
@@ -79,11 +111,13 @@ def test_streams_of_many_mixed_files_equal_batch(spark, tmp_path):
     (tmp_path / "events.parquet").mkdir()
     for k in range(12):
         own = np.arange(n) % 12 == k
-        own = pa.table({"event_id": np.flatnonzero(own), "ts": pa.array(ts[own]), "user_id": user[own], "event_type": ["A"] * own.sum(), "value": [0.5] * own.sum(), "props": ["{}"] * own.sum()})
+        own = pa.table({"event_id": np.flatnonzero(own), "ts": pa.array(ts[own]), "user_id": user[own], "event_type": ["A"] * own.sum(), "value": [0.5] * own.sum(), "props": [f"file {u}" for u in user[own]]})
         pq.write_table(own, tmp_path / "events.parquet" / f"part-{k:02}.parquet")
     batch = spark.read.parquet(str(tmp_path / "events.parquet")).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp"))
     key = lambda df: sorted(map(tuple, df.collect()))
-    users = key(QUERIES["dedup_stream"](spark, str(tmp_path)))
-    assert (len(users), users) == (14, key(batch.select("user_id").distinct()))
+    hashes = key(QUERIES["dedup_stream"](spark, str(tmp_path)))
+    assert hashes == sorted((hashlib.md5(f"file {u}".encode()).hexdigest(),) for u in set(user))
+    late = streams.run_available(streams.distinct_values(streams.read_events(spark, str(tmp_path)), "user_id", late="400 days").select("user_id"), str(tmp_path / "late"))
+    assert key(late) == key(batch.select("user_id").distinct())
     sessions = key(QUERIES["burst_sessions"](spark, str(tmp_path)))
     assert (sum(r[1] for r in sessions), sessions) == (n, key(streams.burst_sessions(batch, 600)))
