@@ -89,10 +89,11 @@ def index(vectors: DataFrame, k: int, bits: int = 512, seed: int = 11, sample: i
     vectors of a length that isn't among them lie in one cell around zero."""
     spark = vectors.sparkSession
     on_workers(spark)
-    good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("vector"))
+    kind = good.schema["vector"].dataType.simpleString()  # vectors travel as they are, and count in double precision
     ranked = good.withColumn("_r", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
     sets = ranked.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    some = [np.asarray(v) for v in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]]
+    some = [np.asarray(v, np.float64) for v in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]]
     lengths = sorted({len(v) for v in some})
     models = spark.sparkContext.broadcast({d: centroids(np.stack([v for v in some if len(v) == d]), CELLS) for d in lengths})
 
@@ -101,7 +102,7 @@ def index(vectors: DataFrame, k: int, bits: int = 512, seed: int = 11, sample: i
             dims = b["vector"].map(len)
             for d in dims.unique().tolist():
                 part = b[dims == d]
-                v = np.stack(part["vector"].to_list())
+                v = np.stack(part["vector"].to_list()).astype(np.float64)
                 c = _centroids(models.value, d)
                 own = _distances(v, c).argmin(axis=1)
                 rest, width = v - c[own], _width(bits, d)
@@ -111,7 +112,7 @@ def index(vectors: DataFrame, k: int, bits: int = 512, seed: int = 11, sample: i
                 packed = np.packbits(x > 0, axis=1, bitorder="little")
                 yield pd.DataFrame({"cell": d * CELLS + own, "group": [i[0] for i in part["ids"]], "ids": part["ids"].to_list(), "vector": part["vector"].to_list(), "code": [r.tobytes() for r in packed], "norm": norm, "fit": np.where(norm > 0, fit, 1.0)})
 
-    coded = written(sets.mapInPandas(code, "cell long, group long, ids array<long>, vector array<double>, code binary, norm double, fit double"), "codes")
+    coded = written(sets.mapInPandas(code, f"cell long, group long, ids array<long>, vector {kind}, code binary, norm double, fit double"), "codes")
     # At most CELLS rows for each vector length.
     cells = {r["cell"]: (r["n"], r["far"]) for r in coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("far")).collect()}
     return Index(coded, cells, models)
@@ -145,8 +146,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 512,
     made = index(vectors, k, bits, seed)
     spark, models, cells = vectors.sparkSession, made.models, made.cells
     asked = queries.where(usable("embedding") & F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").alias("query_id"))
-    asked = written(asked.agg(F.min(F.col("embedding").cast("array<double>")).alias("asked")), "queries")
-    probe = "query_id long, asked array<double>, cell long, most double"
+    asked = written(asked.agg(F.min("embedding").alias("asked")), "queries")
+    probe = f"query_id long, asked {asked.schema['asked'].dataType.simpleString()}, cell long, most double"
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The nearest cells of each query, `first` of them and more until they hold 8 * (k + 1) vectors; with `most`
@@ -157,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 512,
                 if not there:
                     continue
                 size, far = (np.array([cells[c][i] for c in there]) for i in (0, 1))
-                gap = _distances(np.stack(part["asked"].to_list()), _centroids(models.value, d)[[c % CELLS for c in there]])
+                gap = _distances(np.stack(part["asked"].to_list()).astype(np.float64), _centroids(models.value, d)[[c % CELLS for c in there]])
                 if "most" in part:
                     q, c = np.nonzero(gap * (1 - 1e-9) - far <= part["most"].to_numpy()[:, None] * (1 + 1e-9))
                 else:
@@ -190,7 +191,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 512,
             at_once = max(1, (1 << 20) // len(a))
             for s in range(0, len(b), at_once):
                 part = b.iloc[s : s + at_once]
-                rest = np.stack(part["asked"].to_list()) - centre
+                rest = np.stack(part["asked"].to_list()).astype(np.float64) - centre
                 length = np.linalg.norm(rest, axis=1)
                 product, error = common_bits(words, rest.astype(np.float32) @ turn)
                 square = norm**2 + (length**2)[:, None] - product * scale
@@ -214,8 +215,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 512,
 
     def scored(pairs: DataFrame) -> DataFrame:
         """query_id, vec_id, score of all ids of the groups of `pairs` but the query's own."""
-        pairs = pairs.join(asked, "query_id").join(made.codes.select("group", "ids", "vector"), "group")
-        score = F.sqrt(F.aggregate(F.zip_with("asked", "vector", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        # Ids alone meet the codes' vectors; queries come last, which Spark broadcasts if they are few.
+        pairs = pairs.join(made.codes.select("group", "ids", "vector"), "group").join(asked, "query_id")
+        double = lambda c: F.col(c).cast("array<double>")
+        score = F.sqrt(F.aggregate(F.zip_with(double("asked"), double("vector"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
         return pairs.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
 
     def ranked(rows: DataFrame, *order: str, most: int) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_dir, written  # noqa: F401
+
 #: Bytes of text that one numpy step looks at; whole texts, so one longer text makes a longer step.
 STEP_BYTES = 6 << 20
 
@@ -27,31 +28,6 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    A session without one gets a folder of this machine only if it runs on this machine alone; on a cluster executors
-    would write to their own disks there, so it is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="contactsheet-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, after which the worker hands the memory it no longer uses back, since the next stage may run in another."""
 
