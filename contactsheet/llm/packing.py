@@ -2,13 +2,17 @@
 
 Pieces are known by their length alone: the program has one row per length (at most `capacity` of them, however many
 documents there are) and one column per configuration, a multiset of lengths that fits a sequence.  Multiplicative
-weights price the lengths, a knapsack dynamic program finds the configurations that are worth most at these prices,
-and the fractional solution is rounded down; what remains, less than a sequence for each configuration, is packed
-greedily, each sequence starting with the longest remaining piece and filled as well as a subset-sum can.
-
-Only the histogram (length x rank bucket, both bounded by parameters) reaches the driver.  Pieces get their rank among
-those of the same length from their bucket's share and a window within (length, bucket), so a length that a third of
-all pieces have is spread over all buckets, and look up the sequence that this rank belongs to.
+weights price the lengths: a length's price starts in proportion to it and falls exponentially with how far its demand
+is covered.  A knapsack dynamic program finds the configurations that are worth most at these prices; many are taken in
+a round, one around each of the lengths covered least.  By duality, the worth of all pieces divided by that of the best
+configuration is a bound that no packing can go below, and the largest over all rounds is kept.  The fractional solution
+is rounded down; what remains, less than a sequence for each configuration, is packed greedily, each sequence starting
+with the longest remaining piece and filled as well as a subset-sum can.
+
+Only the histogram (length x rank bucket) reaches the driver: a length has a bucket for each `task_rows` pieces, and up
+to `spread` of them below that.  Pieces get their rank among those of the same length from their bucket's share and a
+window within (length, bucket), so no task holds a length that a third of all pieces have, and look up the sequence that
+this rank belongs to.
 """
 
 from __future__ import annotations
@@ -57,8 +61,8 @@ def _filled(take: np.ndarray, w: int) -> dict[int, int]:
     return out
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int = 60, columns: int = 256, rate: float = 0.5) -> dict[tuple[tuple[int, int], ...], float]:
-    """A fractional solution of the covering program: how often to use each configuration.
+def fractional(demand: np.ndarray, capacity: int, rounds: int = 60, columns: int = 256, rate: float = 0.5) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """A fractional solution of the covering program, how often to use each configuration, and a bound on sequences.
 
     In each round the knapsack is solved at the present prices, and for each of the `columns` least covered lengths the
     best configuration that holds it is used as often as its scarcest length allows.
@@ -66,14 +70,17 @@ def fractional(demand: np.ndarray, capacity: int, rounds: int = 60, columns: int
     lengths = np.flatnonzero(demand)
     use: dict[tuple[tuple[int, int], ...], float] = {}
     if not len(lengths):
-        return use
+        return use, 0.0
+    bound = 0.0
     cover = np.zeros(capacity + 1)
     for _ in range(rounds):
         low = cover[lengths].min()
         price = np.zeros(capacity + 1)
         # Worth by length as in any packing, scaled by the multiplicative weight exp(-rate * coverage).
         price[lengths] = lengths * np.exp(-rate * (cover[lengths] - low))
-        _, take = knapsack(price, capacity)
+        best, take = knapsack(price, capacity)
+        # Prices divided by the best configuration's worth are feasible for the dual program.
+        bound = max(bound, float(price[lengths] @ demand[lengths]) / best[capacity])
         for first in lengths[np.argsort(cover[lengths], kind="stable")[:columns]]:
             config = _filled(take, capacity - int(first))
             config[int(first)] = config.get(int(first), 0) + 1
@@ -83,14 +90,20 @@ def fractional(demand: np.ndarray, capacity: int, rounds: int = 60, columns: int
             for x, k in config.items():
                 cover[x] += k * times / demand[x]
     scale = float((cover[lengths] * lengths * demand[lengths]).sum() / (lengths * demand[lengths]).sum())
-    return {c: x / scale for c, x in use.items()}
+    return {c: x / scale for c, x in use.items()}, bound
 
 
 def plan(demand: np.ndarray, capacity: int) -> Plan:
     """Configurations and how often each is used; together they hold exactly `demand[l]` pieces of each length l."""
+    return bounded_plan(demand, capacity)[0]
+
+
+def bounded_plan(demand: np.ndarray, capacity: int) -> tuple[Plan, float]:
+    """The plan and the number of sequences that no plan can go below."""
     left = demand.astype(np.int64).copy()
     out: Plan = []
-    for key, x in sorted(fractional(demand, capacity).items(), key=lambda kx: -kx[1]):
+    use, bound = fractional(demand, capacity)
+    for key, x in sorted(use.items(), key=lambda kx: -kx[1]):
         times = min([int(x), *(int(left[a] // k) for a, k in key)])
         if times > 0:
             out.append((dict(key), times))
@@ -107,7 +120,7 @@ def plan(demand: np.ndarray, capacity: int) -> Plan:
         for x, k in config.items():
             left[x] -= k * times
         out.append((config, times + 1))
-    return out
+    return out, bound
 
 
 def _best_fill(left: np.ndarray, gap: int) -> list[int]:
@@ -162,18 +175,25 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_i
     return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def assign(cut: DataFrame, capacity: int = 1024, buckets: int = 128) -> DataFrame:
+def assign(cut: DataFrame, capacity: int = 1024, task_rows: int = 1 << 20, spread: int = 128) -> DataFrame:
     """`cut` (a table with `length`) with sequence_id and offset: no sequence beyond `capacity`, none with a gap."""
     spark = cut.sparkSession
     tagged = written(cut.withColumn("_tag", F.monotonically_increasing_id()), "pieces")
-    tagged = tagged.withColumn("_bucket", F.pmod(F.xxhash64("_tag"), F.lit(buckets)).cast("int"))
-    share = np.zeros((capacity + 1, buckets), np.int64)
-    for r in tagged.groupBy("length", "_bucket").count().collect():  # at most capacity x buckets rows
-        share[r["length"], r["_bucket"]] = r["count"]
-    before = np.cumsum(share, axis=1) - share
+    many = np.zeros(capacity + 1, np.int64)
+    for r in tagged.groupBy("length").count().collect():  # at most `capacity` rows
+        many[r["length"]] = r["count"]
+    buckets = np.maximum(-(-many // task_rows), np.minimum(spread, -(-many // 1024)))
+    first = np.cumsum(buckets) - buckets
+    grid = spark.createDataFrame([(int(x), int(buckets[x])) for x in np.flatnonzero(many)], "length long, _of int")
+    tagged = tagged.join(F.broadcast(grid), "length").withColumn("_bucket", F.pmod(F.xxhash64("_tag"), F.col("_of")).cast("int")).drop("_of")
+    share = np.zeros(int(buckets.sum()), np.int64)
+    for r in tagged.groupBy("length", "_bucket").count().collect():  # about a row for each `task_rows` pieces, and `spread` for each length
+        share[first[r["length"]] + r["_bucket"]] = r["count"]
+    before = np.cumsum(share) - share
+    before -= np.repeat(before[first[buckets > 0]], buckets[buckets > 0])
     keys, lows, copies, bases, offsets = [], [], [], [], []
     taken, sequences = np.zeros(capacity + 1, np.int64), 0
-    for config, times in plan(share.sum(axis=1), capacity):
+    for config, times in plan(many, capacity):
         at = 0
         for x, k in sorted(config.items(), reverse=True):
             keys.append((x << 44) + int(taken[x]))
@@ -182,18 +202,18 @@ def assign(cut: DataFrame, capacity: int = 1024, buckets: int = 128) -> DataFram
             at += x * k
         sequences += times
     order = np.argsort(np.array(keys, np.int64), kind="stable")
-    shared = spark.sparkContext.broadcast((before, *(np.array(x, np.int64)[order] for x in (keys, lows, copies, bases, offsets))))
+    shared = spark.sparkContext.broadcast((first, before, *(np.array(x, np.int64)[order] for x in (keys, lows, copies, bases, offsets))))
     ranked = tagged.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_tag")))
     names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
     schema = cut.select(names).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, keys, lows, copies, bases, offsets = shared.value
+        first, before, keys, lows, copies, bases, offsets = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             length, bucket, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_bucket", "_rank"))
-            rank = before[length, bucket] + rank - 1
+            rank = before[first[length] + bucket] + rank - 1
             i = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             q, k = rank - lows[i], copies[i]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bases[i] + q // k), pa.array(offsets[i] + q % k * length)], [*names, "sequence_id", "offset"])
@@ -212,4 +232,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of `documents`; see `pack`."""
     return pack(table(spark, sf_dir, "documents"))

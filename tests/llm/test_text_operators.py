@@ -84,14 +84,33 @@ def test_packing(spark, texts):
 def test_packing_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     demand = np.bincount(np.minimum(rng.geometric(1 / 300, 20000), 1024), minlength=1025)
-    made = packing.plan(demand, 1024)
+    made, bound = packing.bounded_plan(demand, 1024)
     got = np.zeros(1025, int)
     for config, times in made:
         assert sum(x * k for x, k in config.items()) <= 1024
         for x, k in config.items():
             got[x] += k * times
     assert (got == demand).all()
-    assert sum(t for _, t in made) <= 1.01 * np.ceil((np.arange(1025) * demand).sum() / 1024)
+    assert np.ceil((np.arange(1025) * demand).sum() / 1024) - 1 <= bound <= sum(t for _, t in made) <= 1.01 * bound
+    # Pieces of 400 go in pairs only, so the bound is half their number, not their tokens.
+    pairs = np.zeros(1025, int)
+    pairs[400], pairs[250] = 1000, 10
+    made, bound = packing.bounded_plan(pairs, 1024)
+    assert 490 <= bound <= 505 and sum(t for _, t in made) <= 1.02 * bound + 1
+    assert packing.bounded_plan(np.zeros(1025, int), 1024) == ([], 0.0)
+
+
+def test_a_length_in_many_buckets(spark):
+    cut = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 1024).otherwise(F.col("id") % 97 + 1).alias("length"))
+    for more in ({"task_rows": 50}, {}, {"spread": 1}):
+        rows = packing.assign(cut, **more).collect()
+        spots = defaultdict(list)
+        for r in rows:
+            spots[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(rows) == 5000 == len({(r["sequence_id"], r["offset"]) for r in rows})
+        for own in spots.values():
+            own.sort()
+            assert own[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(own, own[1:])) and sum(own[-1]) <= 1024
 
 
 def test_grammar_files(spark, texts):
