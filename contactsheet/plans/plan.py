@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.numbering import running_sum, with_block
 from ..params import DEFAULTS, ROTATE_JPEG, ROTATE_PIXELS, VIDEO
+from ..storage import written
 
 #: Order of operations unless the user gives another.
 OPERATIONS = ("dup-trash", "sim-trash", "orient-fix", "move-nonphotos", "rename-date", "fix-dates")
@@ -66,8 +67,9 @@ def allocate_targets(claims: DataFrame, existing: DataFrame, most: int | None =
     there = existing.select(F.col("path").alias("_path")).distinct()
     taken = rows.select("dest_dir", "name").distinct().join(there, F.concat("dest_dir", F.lit("/"), "name") == F.col("_path"), "left_semi").withColumn("_taken", F.lit(1))
     ranked = rows.join(taken, ["dest_dir", "name"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
-    ranked = running_sum(with_block(ranked, "file_id"), ["dest_dir", "name"], "_block", [F.col("file_id")], F.lit(1), "_rank")
-    ranked = ranked.withColumn("_k", F.col("_rank") - 1 + F.col("_taken"))
+    ranked = running_sum(with_block(written(ranked, "wanted"), "file_id"), ["dest_dir", "name"], "_block", [F.col("file_id")], F.lit(1), "_rank")
+    # Both tables are read several times from here on.
+    ranked = written(ranked.withColumn("_k", F.col("_rank") - 1 + F.col("_taken")), "ranked")
     plain = ranked.where("_k = 0").select("file_id", "path", "dest_dir", "name", full.alias("target"))
     more = ranked.where("_k > 0").select("file_id", "path", "dest_dir", "name", "_stem", "_ext", "_k")
     # Numbers that are taken for each name: of n taken ones in order, the n-th free number lies behind all with t - i < k.
@@ -81,7 +83,7 @@ def allocate_targets(claims: DataFrame, existing: DataFrame, most: int | None =
     line = more.select(*group, F.col("_k").cast("bigint").alias("_d"), F.lit(0).alias("_is"), F.struct("file_id", "path", "name").alias("_c"))
     line = line.unionByName(gaps.select(*group, "_d", F.lit(1).alias("_is"), F.lit(None).cast(line.schema["_c"].dataType).alias("_c")))
     # Taken numbers with t - i < k come before the claim of rank k: equal ones after it.
-    served = running_sum(line.withColumn("_block", block("_d")), group, "_block", [F.col("_d"), F.col("_is")], F.col("_is"), "_n").where("_is = 0")
+    served = running_sum(written(line.withColumn("_block", block("_d")), "claims"), group, "_block", [F.col("_d"), F.col("_is")], F.col("_is"), "_n").where("_is = 0")
     slot = F.col("_d") + F.col("_n")
     target = F.concat("dest_dir", F.lit("/"), "_stem", F.lit("_"), slot.cast("string"), "_ext")
     target = target if most is None else F.when(slot <= most, target)
