@@ -158,6 +158,7 @@ class Automaton:
         self.length = np.array([len(x) for x in self.labels])
         self._compile(known)
         self.seen = Memo()
+        self.alone: tuple = ()
 
     def _compile(self, known: list[int]) -> None:
         """`step`: the transition table over bytes whose states are the prefixes of labels, each standing for the
@@ -257,11 +258,37 @@ class Automaton:
         return state
 
     def one_word(self, word: bytes) -> list[int]:
-        state = self.states(np.frombuffer(word, np.uint8)[None])[0]
+        """The ids of a word of any length, by the same transitions as `states`, one after another."""
+        if not self.alone:
+            spots = np.flatnonzero(self.pairs.values >= 0)
+            self.alone = dict(zip(self.pairs.keys[spots].tolist(), self.pairs.values[spots].tolist())), self.left.tolist(), self.right.tolist(), self.born.tolist(), self.length.tolist(), self.shorter.tolist()
+        ranks, left, right, born, length, shorter = self.alone
+        step, row, longest = self.step, self.row, self.longest
+
+        def arc(x: int, y: int) -> bool:
+            limit = len(born) + len(ranks)
+            while True:
+                if ranks.get(x << 24 | y, limit) < limit:
+                    return False
+                bx, by = born[x], born[y]
+                if bx < 0 and by < 0:
+                    return True
+                if bx > by:
+                    x, limit = right[x], bx
+                else:
+                    y, limit = left[y], by + 1
+
+        state, read = [-1], 0
+        for i, b in enumerate(word, 1):
+            read = int(step[row[read], b])
+            token = int(longest[read])
+            while length[token] < i and not arc(state[i - length[token]], token):
+                token = shorter[token]
+            state.append(token)
         out, i = [], len(word)
         while i:
-            out.append(int(state[i]))
-            i -= int(self.length[state[i]])
+            out.append(state[i])
+            i -= length[state[i]]
         return out[::-1]
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +298,7 @@ class Automaton:
         size = np.diff(bounds)
         count = np.zeros(len(words), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
+        long: dict[int, list[int]] = {}
         order = np.argsort(size, kind="stable")
         edges = np.flatnonzero(np.diff(size[order], prepend=-1))
         for a, b in zip(edges, [*edges[1:], len(order)]):
@@ -279,9 +307,8 @@ class Automaton:
                 continue
             if length > LONG_WORD:
                 for w in at:
-                    ids = self.one_word(data[bounds[w] : bounds[w + 1]].tobytes())
-                    count[w] = len(ids)
-                    found += [(np.array([w]), np.array([x]), len(ids) - 1 - i) for i, x in enumerate(ids)]
+                    long[w] = self.one_word(data[bounds[w] : bounds[w + 1]].tobytes())
+                    count[w] = len(long[w])
                 continue
             state = self.states(data[bounds[at][:, None] + np.arange(length)])
             row, place, step = np.arange(len(at)), np.full(len(at), length), 0
@@ -296,6 +323,8 @@ class Automaton:
         flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
         for at, token, step in found:
             flat[ends[at] - 1 - step] = token
+        for w, ids in long.items():
+            flat[ends[w] - len(ids) : ends[w]] = ids
         return flat, count
 
     def coded(self, texts: pa.Array) -> Coded:
@@ -437,7 +466,7 @@ def automaton(path: str) -> Automaton:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """`docs` with `ids` array<int>: the token ids of the whole text.  Null texts count as empty; other columns stay.
 
-    An `ids` column in the input is replaced.
+    An `ids` column in the input is replaced; repeated rows give equal ids, an empty table no rows.
     """
     on_workers(docs.sparkSession)
     path = path or tokenizer_path()
@@ -473,8 +502,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from the ids alone.
 
-    A null or empty text has 0 tokens and the digests of nothing.  Repeated rows give repeated results; columns other
-    than doc_id and text are not read.
+    A null or empty text has 0 tokens and the digests of nothing.  Repeated rows give repeated results, an empty table
+    none; texts and words may be of any length; columns other than doc_id and text are not read.
     """
     on_workers(docs.sparkSession)
     path = path or tokenizer_path()
@@ -495,4 +524,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `documents`; see `round_trip`."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -242,4 +242,5 @@ def read_back(files: DataFrame) -> DataFrame:
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row of `documents`, read back from the file table; see `write_ids`."""
     return read_back(written(write_ids(table(spark, sf_dir, "documents")), "token-ids"))

@@ -334,7 +334,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fewer words, all of them) have a similarity of 0.8 or more; classes are the connected components.  Texts of equal
     word sequences are in one class; texts without words, null and empty ones too, only with equal texts (null counts
     as empty).  Just one row of a class is kept, also of repeated rows; null ids come last.  An empty table gives no
-    rows; columns other than doc_id and text are not read.
+    rows; texts may be of any length; columns other than doc_id and text are not read.  Links are not counted: a class
+    of many copies is settled by a few of its pairs, and all of them would be as many as the square of its size.
     """
     return label(docs.select("doc_id", "text"))[1].select("doc_id", "class_id", "kept")
 
@@ -350,4 +351,5 @@ def keep(docs: DataFrame) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, kept of every row of `documents`; see `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -57,6 +57,19 @@ def test_encoding_random_strings():
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == library_ids(some)[1]
 
 
+def test_encoding_long_words_fast():
+    import base64
+    import time
+
+    rng = random.Random(9)
+    some = [base64.b64encode(rng.randbytes(60000)).decode(), "a" * 50000, "ab" * 30000, "-" * 5000, "".join(rng.choice("äöüß") for _ in range(20000)), "x1" * 3000]
+    some += ["".join(rng.choice("thein") for _ in range(rng.randrange(41, 200))) for _ in range(50)]
+    began = time.time()
+    ids, bounds = bpe.automaton(bpe.tokenizer_path()).encode(pa.array(some))
+    assert time.time() - began < 20
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == library_ids(some)[1]
+
+
 def test_packing(spark, texts):
     _, ids = library_ids(texts)
     rows = packing.pack(frame(spark, texts)).collect()
