@@ -1,10 +1,11 @@
 """Near-duplicates by DartMinHash signatures, banded joins and exact verification.
 
 Each weighted element (a shingle of five words; `signatures` takes any weights, near-duplicates weigh each shingle 1,
-since their similarity is that of sets) is a region of that width and of unlimited time.  Hashed darts fall into the region at rate 1 per unit of area; a dart carries a coordinate and its time, and each
-of a signature's coordinates keeps its earliest dart, so two signatures agree in a coordinate with the probability of
-the weighted Jaccard similarity.  Darts are thrown cell by cell of time, only until all coordinates are expected to be
-hit, so the work per text is its length plus a constant; texts that leave coordinates open throw on.
+since their similarity is that of sets) is a region of that width and of unlimited time.  Hashed darts fall into the
+region at rate 1 per unit of area; a dart carries a coordinate and its time, and each of a signature's coordinates keeps
+its earliest dart, so two signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
+Darts are thrown cell by cell of time, only until all coordinates are expected to be hit, so the work per text is its
+length plus a constant; texts that leave coordinates open throw on.
 
 Equal word sequences are one node.  Bands of a signature are buckets.  In each bucket all nodes are compared with one
 hub, the node of the smallest hash, so a group of near copies has few hubs in all its buckets and is settled in little
