@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from contactsheet.operators import geo
 from contactsheet.plans.ledger import SESSION_SCHEMA
@@ -121,3 +123,23 @@ def test_streams_of_many_mixed_files_equal_batch(spark, tmp_path):
     assert key(late) == key(batch.select("user_id").distinct())
     sessions = key(QUERIES["burst_sessions"](spark, str(tmp_path)))
     assert (sum(r[1] for r in sessions), sessions) == (n, key(streams.burst_sessions(batch, 600)))
+
+
+def test_sessions_of_a_live_stream_are_given_once(spark, tmp_path):
+    """Append mode: with a bound on lateness state is freed, and sessions come once the stream has moved on."""
+    n, rng = 600, np.random.default_rng(9)
+    ts = np.datetime64("2024-01-01T00:00:00", "us") + rng.integers(0, 86400, n).astype("timedelta64[s]")
+    user = np.arange(n) % 5
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(7):
+        own = np.flatnonzero(np.arange(n) % 6 == k) if k < 6 else np.array([0])
+        at = ts[own] if k < 6 else np.array([np.datetime64("2024-02-01T00:00:00", "us")])
+        rows = pa.table({"event_id": own, "ts": pa.array(at), "user_id": user[own] if k < 6 else np.array([99]), "event_type": ["A"] * len(own), "value": [0.5] * len(own), "props": ["{}"] * len(own)})
+        path = tmp_path / "events.parquet" / f"part-{k:02}.parquet"
+        pq.write_table(rows, path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    batch = spark.read.parquet(str(tmp_path / "events.parquet")).withColumn("ts", F.col("ts").cast("timestamp")).where("user_id < 99")
+    live = streams.burst_sessions(streams.read_events(spark, str(tmp_path), files=1), 600, late="2 days")
+    got = streams.run_available(live, str(tmp_path / "out"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(got) == key(streams.burst_sessions(batch, 600)) and got.agg(F.sum("shots")).head()[0] == n
