@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed training sequences, in five stages over whole tables."""
+"""A corpus from raw documents to packed training sequences, in five stages over whole tables.
+
+Every stage takes null, empty and very long texts, null and repeated ids, repeated rows, further columns of any name, and
+empty tables, which stay empty; all but the last keep the columns.  What each does with these is said below.
+"""
 
 from __future__ import annotations
 
@@ -10,34 +14,47 @@ from contactsheet.llm.common import table, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject.
+
+    Texts that are null, empty or without words score 0 and stay, as all do without labels of both classes; repeated
+    rows score alike and stay or go together.  It learns from the rows of `docs` that have labels.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
+    """One document of each set of equal texts: the one with the most code points, then the smallest doc_id, null last.
+
+    Null, empty and blank texts are equal.  Of rows with the same doc_id too the one with the smallest hash stays.
+    """
     return exact.keep(docs)
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the smallest doc_id, null last, and of its rows just one.
+
+    Texts without words, null and empty ones too, are near equal texts only.
+    """
     return minhash.keep(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
+    """All documents, with pseudonyms for personal data and `n_chars` counted anew; a null text stays null, as does its count."""
     return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in the training sequences."""
+    """Where each piece of each document goes in the training sequences.
+
+    A null or empty text is its end id alone; repeated rows are packed as often as they occur.
+    """
     return packing.pack(docs)
 
 
 STAGES = [("toxicity", clean), ("exact dedup", distinct), ("near dedup", different), ("pii", private), ("packing", packed)]
 
-#: The classifier, the signatures and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the signatures and the tokenizer are beyond SQL; tests hold the whole run against brute force.
 ORACLE_SQL = None
 
 
