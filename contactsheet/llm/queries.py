@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import ann, bpe, exact, grammar, html, minhash, packing, pii, sharding, toxicity
+from . import ann, bpe, exact, grammar, html, minhash, packing, periodic, pii, repair, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_token_ids": grammar.op10_token_ids,
+    "op11_conversation_repair": repair.op11_conversation_repair,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 SQL = {"op3_exact_dedup": exact.OP3_SQL, "op7_nearest": ann.OP7_SQL}
