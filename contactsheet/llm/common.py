@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import shared_dir, written  # noqa: F401
+from ..storage import on_workers, shared_dir, written  # noqa: F401
 
 #: Bytes of text that one numpy step looks at; whole texts, so one longer text makes a longer step.
 STEP_BYTES = 6 << 20
@@ -20,14 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed but lies at the same path."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-
-
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, after which the worker hands the memory it no longer uses back, since the next stage may run in another."""
 

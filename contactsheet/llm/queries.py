@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import ann, bpe, exact, grammar, html, minhash, packing, periodic, pii, repair, sharding, toxicity
+from . import ann, bpe, exact, grammar, html, langid, minhash, packing, periodic, pii, repair, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_token_ids": grammar.op10_token_ids,
     "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_language_id": langid.op12_language_id,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
