@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import exists, written
+from .sources import store
+from .storage import exists, on_workers, shared_dir, written
 
 _TEMPLATE = """
 e as (select event_id id, user_id, date_trunc('hour', ts) hr from {events}),
@@ -30,7 +35,7 @@ media as {once}(select id file_id, concat('/library/',album,'/',stem,ext) path,
  case when id%12 in (9,10) then (case ({id_div_12})%3 when 0 then 'hvc1' when 1 then 'avc1' else 'ap4h' end) end codec,
  concat('/library/',album) directory,
  concat(translate(substr(v.b,1,cast((id%4)*5 as int)),'01','10'), substr(v.b,cast((id%4)*5+1 as int))) phash_bits, cap
- from f join v on v.vec_id = ({id_div_4}) % {vectors})"""
+ from (select *, ({id_div_4}) % {vectors} vec from f) f join v on v.vec_id = f.vec)"""
 
 _FORMS = {
     "spark": {"ymd": "yyyyMMdd", "hms": "HHmmss", "exif": "yyyy:MM:dd HH:mm:ss", "day": "yyyy-MM-dd", "dash": "HH-mm-ss", "dot": "HH.mm.ss", "clock": "HH:mm:ss"},
@@ -67,6 +72,7 @@ ROOTS_SQL = "roots(ord, base_dir) as (values (0, '/library/Japan_Tokyo'), (1, '/
 
 
 _WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_FOLDERS: dict[tuple[str, str], str] = {}
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +83,25 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _WRITTEN[key]
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one file for each document that has a text, written by the executors once in each session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLDERS or not exists(spark, _FOLDERS[key]):
+        on_workers(spark)
+        at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    store.put(f"{at}/{doc_id % 64}/{doc_id}.txt", text.encode())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id is not null").select("doc_id", "text")
+        docs.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+        _FOLDERS[key] = at
+    return _FOLDERS[key]
+
+
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     sql = _media("spark", f"parquet.`{sf_dir}/events.parquet`", f"parquet.`{sf_dir}/embeddings.parquet`", vectors)

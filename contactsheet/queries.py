@@ -12,6 +12,7 @@ from .functions import exprs as X
 from .operators import catalog, classify, dates, dedup, geo, similar, transcode
 from .params import ALL_PHOTO, CATEGORIES, DOCUMENT, MEDIA, MESSAGING, RECORDING, SCAN_PHOTO, SCREENS, SCREENSHOT, SKIP_DIRS, VIDEO
 from .plans import ledger, plan
+from .sources import metadata
 from .storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,7 +111,7 @@ def name_to_exif_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.media(spark, sf_dir).select("file_id", X.name_to_exif(C("filename")).alias("exif_date"))
 
 
-@query(f"select a.file_id, round({_hav('a.gps_lat', 'a.gps_lon', 'b.gps_lat', 'b.gps_lon')}, 3) meters from media a join media b on b.file_id = a.file_id + 1")
+@query(f"select file_id, round({_hav('gps_lat', 'gps_lon', 'lat2', 'lon2')}, 3) meters from (select file_id, gps_lat, gps_lon, lead(file_id) over w nxt, lead(gps_lat) over w lat2, lead(gps_lon) over w lon2 from media window w as (order by file_id)) where nxt = file_id + 1")
 def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.media(spark, sf_dir)
     b = m.select((C("file_id") - 1).alias("file_id"), C("gps_lat").alias("lat2"), C("gps_lon").alias("lon2"))
@@ -135,7 +136,7 @@ def size_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.media(spark, sf_dir).select("file_id", X.quality(C("width"), C("height"), C("size")).alias("quality"), X.format_size(C("size")).alias("size_text"), X.path_within(C("path"), F.lit("/library/Japan_Tokyo")).alias("within_base"))
 
 
-@query("select a.file_id, hamming(a.phash_bits, b.phash_bits)::int distance, round(1 - hamming(a.phash_bits, b.phash_bits) / 64, 4) similarity from media a join media b on b.file_id = a.file_id + 1")
+@query("select file_id, hamming(phash_bits, bits2)::int distance, round(1 - hamming(phash_bits, bits2) / 64, 4) similarity from (select file_id, phash_bits, lead(file_id) over w nxt, lead(phash_bits) over w bits2 from media window w as (order by file_id)) where nxt = file_id + 1")
 def hamming64(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.media(spark, sf_dir).select("file_id", X.bits_to_long(C("phash_bits")).alias("h"))
     d = X.hamming64(C("h"), C("h2"))
@@ -401,6 +402,21 @@ SQL["duplicate_members"] = f'with {HASHED} select file_id, h.size::bigint size,
 SQL["duplicate_stats"] = f'with {HASHED} select count(*) as "groups", coalesce(sum("count"), 0)::bigint total_duplicates, coalesce(sum(wasted_size), 0)::bigint wasted_size from dups'
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.scan_files(spark, fx.document_files(spark, sf_dir), (".txt",))
+
+
+@query("select doc_id || '.txt' filename, '.txt' extension, strlen(text) size, (doc_id % 64)::varchar folder from documents where text is not null")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listing(spark, sf_dir).select("filename", "extension", "size", X.basename(C("directory")).alias("folder"))
+
+
+@query(f'with {HASHED} select h.file_id, h.size::bigint size, hash, "count" from hashed h join dups using (hash)')
+def file_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _listing(spark, sf_dir).select(F.regexp_extract("filename", r"^(\d+)", 1).cast("bigint").alias("file_id"), "path", "size")
+    return dedup.file_duplicates(files).drop("path")
+
+
 @query(f"select count(*) total_files, sum(size)::bigint total_size, count(*) filter (extension in {_in(SCAN_PHOTO)}) photo_count, count(*) filter (extension in {_in(VIDEO)}) video_count, count(*) filter {HAS_GPS} with_gps, count(*) filter (not {HAS_GPS}) without_gps from media")
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_stats(fx.media(spark, sf_dir))
@@ -444,7 +460,13 @@ def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.rename_plan(fx.media(spark, sf_dir))
 
 
-@query("select file_id, path, new_path, case when new_path in (select path from media) or count(*) over (partition by new_path) > 1 then 'Target already exists' else 'ok' end status from (select file_id, case when file_id%10=0 then path || '.gone' else path end path, new_path from renames) where file_id%10<>0 union all select file_id, path || '.gone', new_path, 'Source not found' from renames where file_id%10=0", RENAMES)
+RENAMED = f"""based as (select file_id, path, directory, filename, {DATE_NAME} base, {CAN} can from media),
+planned as (select *, case when can then directory || '/' || base || case when count(*) over (partition by can, directory, base) > 1 then '_' || row_number() over (partition by can, directory, base order by file_id) else '' end || lower({NAME_SUFFIX}) end new_path from based),
+names as (select file_id, path, new_path, unnest([path, new_path]) a_name, unnest([1, 0]) old from planned),
+told as (select *, max(old) over (partition by a_name) there, count(*) filter (old = 0) over (partition by a_name) wanted from names where a_name is not null)"""
+
+
+@query("select file_id, case when file_id%10=0 then path || '.gone' else path end path, new_path, case when file_id%10=0 then 'Source not found' when there = 1 or wanted > 1 then 'Target already exists' else 'ok' end status from told where old = 0", RENAMED)
 def validate_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.media(spark, sf_dir)
     rows = dates.rename_plan(m).select("file_id", F.when(C("file_id") % 10 == 0, F.concat("path", F.lit(".gone"))).otherwise(C("path")).alias("path"), "new_path")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,15 +10,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists, on_workers, shared_dir, written
+from .metadata import scan_files
+
 MEAN, DEVIATION = np.array([0.485, 0.456, 0.406], np.float32), np.array([0.229, 0.224, 0.225], np.float32)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, channels, data (rows of BGR) of all pictures that decode."""
-    rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+#: Formats that Spark's image reader decodes.
+DECODED = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".wbmp")
+#: Pictures that one job reads.
+AT_ONCE = 50_000
+
+
+def decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, height, width, nChannels, data (rows of BGR) of those pictures that decode."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(paths)
     return rows.select(F.regexp_replace("image.origin", "^file:/+", "/").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
+def read_images(spark: SparkSession, path: str, run: Callable[[DataFrame], DataFrame] | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """What `run` makes of all pictures below a folder (path, height, width, nChannels, data) that decode.
+
+    Executors list the folder.  The reader of pictures wants its paths from the driver, so these are dealt into shares of
+    about `at_once` by a hash, and `run` (such as `hashed_images`) is applied to one share after the other, each written
+    before the next: the driver never holds more paths than that.  Without `run` the pixels themselves are written.
+    Where there are no pictures, no rows.
+    """
+    paths = scan_files(spark, path, DECODED).select("path")
+    paths = written(paths, "pictures")
+    shares = max(1, -(-paths.count() // at_once))
+    dealt = written(paths.withColumn("share", F.pmod(F.xxhash64("path"), F.lit(shares))).repartition("share"), "shares")
+    at = f"{shared_dir(spark)}/read-{uuid.uuid4().hex}"
+    for k in range(shares):
+        own = [r["path"] for r in dealt.where(F.col("share") == k).collect()]
+        if own:
+            rows = decoded(spark, own)
+            rows = run(rows) if run else rows
+            schema = rows.schema
+            rows.write.parquet(f"{at}/share={k}")
+    if not exists(spark, at):
+        none = spark.createDataFrame([], "path string, height int, width int, nChannels int, data binary")
+        return run(none) if run else none
+    return spark.read.schema(schema).parquet(at).select(*schema.names)
+
+
 def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Height x width x 3 in RGB order, as floats."""
     raw = np.frombuffer(bytes(data), np.uint8).reshape(height, width, channels).astype(np.float32)
@@ -54,6 +90,9 @@ def phash64(image: np.ndarray) -> int:
 
 
 def hashed_images(images: DataFrame) -> DataFrame:
+    """path, hash64 of each picture."""
+    on_workers(images.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "hash64": np.array([phash64(pixels(*x)) for x in zip(b["data"], b["height"], b["width"], b["nChannels"])], np.int64)})

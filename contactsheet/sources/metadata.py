@@ -7,25 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..plans.ledger import SESSION_SCHEMA
-from ..storage import exists
+from ..storage import exists, written
+from .jsonarray import json_records
+from .walk import walk
 
 #: Tags of a metadata dump, all read as texts.
 TAGS = "SourceFile FileName FileSize DateTimeOriginal CreateDate FileModifyDate GPSLatitude GPSLongitude Orientation ImageWidth ImageHeight CompressorID VideoCodecID CompressorName Duration Directory MIMEType".split()
 
 
-def read_exif_json(spark: SparkSession, path: str) -> DataFrame:
-    """Raw metadata rows of JSON dumps (arrays of objects); what can't be read gives no rows."""
+def read_exif_json(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Raw metadata rows of JSON dumps (arrays of objects), each read by as many tasks as Spark splits it into.
+
+    A dump that isn't sound gives no rows at all, like an empty one; with `strict` off its sound records are kept.  Records
+    without a SourceFile are left out.
+    """
     schema = ", ".join(f"{t} string" for t in TAGS)
-    return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null and SourceFile is not null").drop("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = json_records(spark, path).withColumn("_r", F.when(F.col("kind") == "record", F.from_json("value", f"{schema}, _corrupt string", options)))
+    rows = written(rows.select("file", ((F.col("kind") == "broken") | F.col("_r._corrupt").isNotNull()).alias("_bad"), "_r.*"), "metadata")
+    if strict:
+        rows = rows.join(rows.where("_bad").select("file").distinct(), "file", "left_anti")
+    return rows.where("not _bad and SourceFile is not null").select(*TAGS)
+
+
+def listed(walked: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """Files of a `walk` with one of the extensions: path, filename, extension, size, mtime, directory.
+
+    Files whose own name begins with a dot are left out; case of extensions doesn't matter.
+    """
+    name, wanted = X.basename(F.col("path")), tuple(e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions)
+    rows = walked.where("kind = 'file'").select("path", name.alias("filename"), X.extension(name).alias("extension"), "size", "mtime", X.parent(F.col("path")).alias("directory"))
+    return rows.where(F.col("extension").isin(*wanted) & ~F.col("filename").startswith("."))
 
 
 def scan_files(spark: SparkSession, base: str, extensions: tuple[str, ...]) -> DataFrame:
-    """Files below a folder with one of the extensions: path, filename, size, mtime, directory.  Content isn't read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path", "length", "modificationTime")
-    path = F.regexp_replace("path", "^file:/+", "/")
-    rows = rows.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    name = X.basename(F.col("path"))
-    return rows.select("path", name.alias("filename"), X.extension(name).alias("extension"), "size", "mtime", X.parent(F.col("path")).alias("directory")).where(F.col("extension").isin(*extensions) & ~F.col("filename").startswith("."))
+    """Files below a folder with one of the extensions; executors list, nothing is read.  See `walk` and `listed`."""
+    return listed(walk(spark, base), extensions)
 
 
 def read_operation_log(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import random
 import struct
 import zlib
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from contactsheet.operators import geo
 from contactsheet.plans.ledger import SESSION_SCHEMA
 from contactsheet.queries import QUERIES
-from contactsheet.sources import images, metadata
+from contactsheet.sources import images, jsonarray, metadata
 from contactsheet.streaming import streams
 
 
@@ -143,3 +144,46 @@ def test_sessions_of_a_live_stream_are_given_once(spark, tmp_path):
     got = streams.run_available(live, str(tmp_path / "out"))
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(got) == key(streams.burst_sessions(batch, 600)) and got.agg(F.sum("shots")).head()[0] == n
+
+
+def dump(rng, n):
+    """An array of objects with braces, quotes and escapes in strings, nested values, and odd spacing."""
+    said = ['}{', '"', '\\', '\\"', '\\\\', '}', '},{', 'ü}', '[', '', 'a\nb', '\\\\"}']
+    rows = [{"SourceFile": f"/x/{i}{rng.choice(said)}.jpg", "FileSize": rng.choice([5, 1.5, None]), "FileName": rng.choice(said) * rng.randrange(4), "Nested": {"a": [{"b": rng.choice(said)}, []]}} for i in range(n)]
+    return rows, "[" + ",".join(json.dumps(r, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n", " "]) for r in rows) + "]\n"
+
+
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(8)
+    want = []
+    for k in range(3):
+        rows, text = dump(rng, 60)
+        (tmp_path / f"{k}.json").write_text(" \n" * k + text)
+        want += rows
+    (tmp_path / "one.json").write_text('{"SourceFile": "/alone", "FileSize": 1}')
+    (tmp_path / "none.json").write_text(" [ \n]")
+    (tmp_path / "nothing.json").write_text("")
+    want.append({"SourceFile": "/alone", "FileSize": 1})
+    key = lambda rows: sorted((r["SourceFile"], str(r["FileSize"]) if r["FileSize"] is not None else "", r.get("FileName") or "") for r in rows)
+    for size in (700, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            tasks = jsonarray.pieces(spark, str(tmp_path)).rdd.getNumPartitions()
+            got = [r.asDict() for r in metadata.read_exif_json(spark, str(tmp_path)).collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert key(got) == key(want) and (tasks > 12 or size > 700)
+
+
+def test_dumps_that_are_not_sound(spark, tmp_path):
+    sound = '{"SourceFile": "/a", "FileSize": 1}'
+    broken = [f"[{sound}", f"[{sound},]x", f"[{sound} {sound}]", f"[{sound}, 5]", f'[{sound}, {{"SourceFile": /b}}]', f"[{sound}]]", "[{ broken", f"{sound}}}", f'[{sound}, {{"SourceFile": "]', "text", f"[{sound}],"]
+    for k, text in enumerate(broken):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "a.json").write_text(text)
+        assert metadata.read_exif_json(spark, str(tmp_path / f"{k}")).count() == 0, text
+    (tmp_path / "2" / "b.json").write_text(f"[{sound}]")
+    assert metadata.read_exif_json(spark, str(tmp_path / "2")).count() == 1
+    assert [r["SourceFile"] for r in metadata.read_exif_json(spark, str(tmp_path / "4"), strict=False).collect()] == ["/a"]
