@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_block(rows: DataFrame, column: str, pieces: int = 4096) -> DataFrame:
-    """`rows` with `_block`, which cuts the range of a numeric column into equal pieces in its order."""
-    x = F.col(column).cast("double")
-    span = rows.agg(F.min(x).alias("_low"), ((F.max(x) - F.min(x)) / pieces).alias("_step"))
-    block = F.when(F.col("_step") > 0, F.floor((x - F.col("_low")) / F.col("_step"))).otherwise(F.lit(0).cast("bigint"))
-    return rows.crossJoin(F.broadcast(span)).withColumn("_block", block).drop("_low", "_step")
+def with_block(rows: DataFrame, column: str, pieces: int = 1024) -> DataFrame:
+    """`rows` with `_block`, which cuts a numeric column into pieces of about equally many rows, in its order.
+
+    The cuts are approximate quantiles, so a few ids far from all others don't put the rest into one piece.  Null ids are
+    in the first piece.
+    """
+    shares = ", ".join(repr(k / pieces) for k in range(1, pieces))
+    cuts = rows.agg(F.expr(f"array_distinct(percentile_approx({column}, array({shares}), {10 * pieces}))").alias("_cuts"))
+    # How many of the cuts, which are in order, a value reaches: found bit by bit.
+    reached = f"""aggregate(sequence({(pieces - 1).bit_length() - 1}, 0, -1), 0, (n, b) -> if(
+        n + shiftleft(1, b) <= size(_cuts) and get(_cuts, n + shiftleft(1, b) - 1) <= {column}, n + shiftleft(1, b), n))"""
+    block = F.when(F.col(column).isNull() | F.col("_cuts").isNull(), 0).otherwise(F.expr(reached)).cast("bigint")
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("_block", block).drop("_cuts")
 
 
 def numbered(rows: DataFrame, levels: list[dict[str, Column]], order: list[Column], name: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.numbering import running_sum, with_block
 from ..params import DEFAULTS
+from ..storage import written
 
 #: Fixed value: a file name that is a date already.
 DATE_NAMED = r"^\d{8}_\d{6}(_\d+)?$"
@@ -24,11 +26,18 @@ def date_mismatches(media: DataFrame, tolerance_s: float = DEFAULTS.date_toleran
 
 
 def rename_plan(media: DataFrame) -> DataFrame:
-    """New names by capture date; all files of a folder with the same date get a number, by file_id."""
+    """New names by capture date; all files of a folder with the same date get a number, by file_id.
+
+    Files of one folder and date, such as a camera's default, are numbered in blocks, and their count is that of the blocks.
+    """
     rows = media.where(~is_date_named(F.col("filename"))).withColumn("_base", X.date_name(F.col("date_raw"))).where("_base is not null")
-    group = Window.partitionBy("directory", "_base")
-    n, k = F.count("*").over(group), F.row_number().over(group.orderBy("file_id"))
-    new = F.concat("_base", F.when(n > 1, F.concat(F.lit("_"), k)).otherwise(""), X.extension(F.col("filename")))
+    rows = rows.select("file_id", "path", "filename", "directory", "_base")
+    rows = written(with_block(rows, "file_id"), "dated")
+    many = written(rows.groupBy("directory", "_base").agg(F.count("*").alias("_n")).where("_n > 1"), "dates")
+    alone = rows.join(many, ["directory", "_base"], "left_anti").withColumn("_k", F.lit(None).cast("bigint"))
+    more = running_sum(rows.join(many, ["directory", "_base"], "left_semi"), ["directory", "_base"], "_block", [F.col("file_id")], F.lit(1), "_k")
+    rows = alone.unionByName(more.select(*alone.columns))
+    new = F.concat("_base", F.when(F.col("_k").isNotNull(), F.concat(F.lit("_"), "_k")).otherwise(""), X.extension(F.col("filename")))
     return rows.select("file_id", "path", F.col("filename").alias("old_name"), new.alias("new_name"), F.concat("directory", F.lit("/"), new).alias("new_path"))
 
 

@@ -299,8 +299,7 @@ def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     photos = _shots(spark, sf_dir)
-    edges = similar.similar_edges(photos)
-    return edges, similar.group_members(similar.components(edges), photos)
+    return similar.similar_edges(photos), similar.group_members(similar.components(similar.linking_edges(photos)), photos)
 
 
 @query("select file_id, row_number() over (order by local_s nulls last, file_id) place, local_s from shots", SHOTS)
@@ -331,7 +330,7 @@ def edge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select * from comp", SHOTS, NEAR, EDGES, GROUPS)
 def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.components(similar.similar_edges(_shots(spark, sf_dir)))
+    return similar.components(similar.linking_edges(_shots(spark, sf_dir)))
 
 
 @query("select * from summary", *SIMILAR)
