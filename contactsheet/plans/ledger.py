@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import versions
 from ..functions import exprs as X
 from ..functions.numbering import numbered, with_block
 
@@ -79,3 +80,44 @@ def mark_undone(sessions: DataFrame, session_id: int, at: str) -> DataFrame:
         raise ValueError(f"session {session_id} was undone already")
     hit = F.col("session_id") == session_id
     return sessions.withColumn("undone", hit | F.col("undone")).withColumn("undone_at", F.when(hit, F.lit(at)).otherwise(F.col("undone_at")))
+
+
+_DONE_SCHEMA = "session_id int, timestamp string, operations array<struct<type:string,file:string,old_value:string,new_value:string,detail:string>>"
+_UNDONE_SCHEMA = "session_id int, undone_at string"
+
+
+def stored_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """All sessions of a ledger kept in versioned tables, with what was undone since."""
+    done, undone = versions.read(spark, f"{path}/sessions", _DONE_SCHEMA), versions.read(spark, f"{path}/undone", _UNDONE_SCHEMA)
+    return done.join(undone, "session_id", "left").select(*done.columns, F.col("undone_at").isNotNull().alias("undone"), "undone_at")
+
+
+def record_session(spark: SparkSession, path: str, operations: DataFrame, at: str) -> int:
+    """Adds one session of what a user did (pos, type, file, old_value, new_value, detail) and returns its number, from 0.
+
+    Whoever else adds one at the same time, each gets a number of its own and none is lost.
+    """
+    item = F.struct("type", "file", "old_value", "new_value", "detail")
+    nested = operations.agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("op")))).alias("o")).select(F.transform("o", lambda x: x["op"]).alias("operations"))
+    given = -1
+
+    def next_one(version: int) -> DataFrame:
+        nonlocal given
+        last = versions.read(spark, f"{path}/sessions", _DONE_SCHEMA, version).agg(F.max("session_id")).head()[0]
+        given = 0 if last is None else last + 1
+        return nested.select(F.lit(given).cast("int").alias("session_id"), F.lit(at).alias("timestamp"), "operations")
+
+    versions.append(next_one, f"{path}/sessions", spark)
+    return given
+
+
+def record_undone(spark: SparkSession, path: str, session_id: int, at: str) -> None:
+    """Marks a stored session as undone; an error, as in `mark_undone`, if it is unknown or was undone, by anyone."""
+
+    def marked(version: int) -> DataFrame:
+        undone = versions.read(spark, f"{path}/undone", _UNDONE_SCHEMA, version)
+        done = versions.read(spark, f"{path}/sessions", _DONE_SCHEMA).select("session_id")
+        known = done.join(undone, "session_id", "left").select("session_id", "undone_at", F.col("undone_at").isNotNull().alias("undone"))
+        return mark_undone(known, session_id, at).where(F.col("session_id") == session_id).select("session_id", "undone_at")
+
+    versions.append(marked, f"{path}/undone", spark)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import versions
 from .functions import exprs as X
 from .operators import catalog, classify, dates, dedup, geo, similar, transcode
 from .params import ALL_PHOTO, CATEGORIES, DOCUMENT, MEDIA, MESSAGING, RECORDING, SCAN_PHOTO, SCREENS, SCREENSHOT, SKIP_DIRS, VIDEO
@@ -751,6 +753,40 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_available(streams.distinct_values(files, "hash").select("hash"), shared_dir(spark))
 
 
+_KEY = "md5(user_id || ':' || event_type || ':' || (event_id % 50))"
+
+
+@query(f"select distinct {_KEY} hash from events where {_KEY} not in (select {_KEY} from events where event_id % 3 = 0 and event_id % 50 < 20)")
+def dedup_against_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import streams
+
+    key = lambda rows: rows.select("event_id", F.md5(F.concat_ws(":", "user_id", "event_type", C("event_id") % 50)).alias("hash"))
+    at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    known = key(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 = 0 and event_id % 50 < 20"))
+    before = streams.add_known(known, f"{at}/index", "hash")
+    streams.dedup_against(key(streams.read_events(spark, sf_dir)), f"{at}/index", "hash", f"{at}/checkpoint").awaitTermination()
+    schema = "event_id bigint, hash string"
+    return streams.arrivals(spark, f"{at}/index", schema).join(versions.read(spark, f"{at}/index", schema, before), "hash", "left_anti").select("hash")
+
+
+_SCANS = "select file_id, path || '#' || file_id path, size, file_id % 4 > 0 one, file_id % 5 > 0 two, size + 1 other, file_id % 7 = 0 odd from media"
+
+
+@query(f"""select path, kind, case when kind = 'deleted' and odd and version = 3 then other when kind <> 'deleted' and version = 2 and odd then other else size end size, version from (
+ select *, unnest([1, 2, 3]) version, unnest([case when one then 'added' end,
+  case when one and not two then 'deleted' when two and not one then 'added' when one and two and odd then 'changed' end,
+  case when not two then 'added' when odd then 'changed' end]) kind from ({_SCANS})) where kind is not null""")
+def catalog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import streams
+
+    i, rows = C("file_id"), fx.media(spark, sf_dir).select("file_id", F.concat("path", F.lit("#"), "file_id").alias("path"), "size", "mtime")
+    second = rows.where(i % 5 > 0).withColumn("size", F.when(i % 7 == 0, C("size") + 1).otherwise(C("size")))
+    table = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    for scan in (rows.where(i % 4 > 0), second, rows):
+        streams.capture(scan, table)
+    return versions.read(spark, table, streams.CHANGES).select("path", "kind", "size", C("at").alias("version"))
+
+
 @query("select user_id, count(*) shots, min(us) start_us, max(us) end_us from (select *, sum(brk) over (partition by user_id order by us rows unbounded preceding) k from (select user_id, epoch_us(ts) us, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 600000000 then 0 else 1 end brk from events)) group by user_id, k")
 def burst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import streams

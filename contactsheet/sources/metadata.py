@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import versions
 from ..functions import exprs as X
+from ..operators.geo import merge_cache
 from ..plans.ledger import SESSION_SCHEMA
 from ..storage import exists, written
 from .jsonarray import json_records
@@ -60,22 +62,19 @@ def write_operation_log(sessions: DataFrame, path: str) -> None:
 CACHE_SCHEMA = "geo_key string, label string"
 
 
-def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a geocode cache; empty if there is none."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], CACHE_SCHEMA)
-    rows = spark.read.schema(CACHE_SCHEMA + ", version int").parquet(path)
-    newest = rows.agg(F.max("version")).head()[0]
-    return rows.where(F.col("version") == (newest or 0)).drop("version")
+def load_cache(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a geocode cache, the newest unless one is named; empty if there is none."""
+    return versions.read(spark, path, CACHE_SCHEMA, version)
 
 
 def save_cache(cache: DataFrame, path: str) -> int:
     """Writes a new version beside the old ones, which readers may still use; returns its number."""
-    spark, last = cache.sparkSession, 0
-    if exists(spark, path):
-        last = spark.read.schema(CACHE_SCHEMA + ", version int").parquet(path).agg(F.max("version")).head()[0] or 0
-    cache.select("geo_key", "label").write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={last + 1}")
-    return last + 1
+    return versions.replace(lambda _: cache.select("geo_key", "label"), path, CACHE_SCHEMA, cache.sparkSession)
+
+
+def update_cache(found: DataFrame, path: str) -> int:
+    """A new version with keys that the newest one lacks put in; of writers at the same time none loses a key."""
+    return versions.replace(lambda old: merge_cache(old, found.select("geo_key", "label")), path, CACHE_SCHEMA, found.sparkSession)
 
 
 def write_by_location(named: DataFrame, path: str) -> None:
