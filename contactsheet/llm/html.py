@@ -42,6 +42,8 @@ BAD = set(
     "nav navbar navigation menu menubar header masthead banner footer foot sidebar side aside rail ad ads adv advert advertisement sponsor sponsored promo promotion cookie cookies consent notice alert popup modal overlay "
     "comment comments commentlist reply replies respond discussion disqus share sharing social related recommended widget breadcrumb breadcrumbs pagination pager login signin signup newsletter subscribe form search tags toolbar copyright legal complementary contentinfo skip".split()
 )
+#: Words after which a name tells what a box has or lacks, not what it is: `post-with-sidebar`, `no-ads`.
+ABOUT = set("with without no not has have hide hidden show is".split())
 COMMENT = set("comment comments commentlist reply replies respond discussion disqus".split())
 
 #: What follows a tag's name.  Quotation marks bound a value only right behind an equals sign, and only if both are there.
@@ -77,16 +79,30 @@ class Dom:
     good: list[int] = field(default_factory=list)
     bad: list[int] = field(default_factory=list)
     talk: list[int] = field(default_factory=list)
+    about: list[int] = field(default_factory=list)
     link: list[int] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     part: list[int] = field(default_factory=list)
 
-    def node(self, page: int, up: int, kind: int, level: int = 0, good: int = 0, bad: int = 0, talk: int = 0, link: int = 0, text: str = "", part: int = -1) -> int:
+    def node(self, page: int, up: int, kind: int, level: int = 0, good: int = 0, bad: int = 0, talk: int = 0, about: int = 0, link: int = 0, text: str = "", part: int = -1) -> int:
         self.page.append(page), self.up.append(up), self.depth.append(self.depth[up] + 1 if up >= 0 else 0), self.kind.append(kind), self.level.append(level)
-        self.good.append(good), self.bad.append(bad), self.talk.append(talk), self.link.append(link), self.text.append(text), self.part.append(part)
+        self.good.append(good), self.bad.append(bad), self.talk.append(talk), self.about.append(about), self.link.append(link), self.text.append(text), self.part.append(part)
         return len(self.up) - 1
 
 
+def _names(value: str) -> tuple[set[str], set[str]]:
+    """The words of an attribute's names that say what a box is, and those that say what it has or lacks."""
+    own, about = set(), set()
+    for name in value.split():
+        words, found = own, [x.lower() for x in _NAME.findall(name)]
+        for word in found:
+            if word in ABOUT and len(found) > 1:
+                words = about
+            else:
+                words.add(word)
+    return own, about
+
+
 def _empty(attrs: str) -> bool:
     return bool(_EMPTY.search(attrs)) and not _BARE_VALUE.search(attrs)
 
@@ -176,11 +192,13 @@ def parse(dom: Dom, page: int, source: str, marked: bool = False) -> None:
                         break
                 continue
             if tag == "body" or tag == "html" or tag == "hr":
+                if marked and _MARK in m["attrs"]:
+                    dom.part[root] = int(dict((k, a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"]))[_MARK])
                 continue
             shut(("p",), ("td", "th", "table", "button")) if stack[-1][0] == "p" else None
             if tag in CLOSES:
                 shut(*CLOSES[tag])
-            good = bad = talk = 0
+            good = bad = talk = about = 0
             part = -1
             if m["attrs"]:
                 for key, a, b, c in _ATTR.findall(m["attrs"]):
@@ -188,12 +206,13 @@ def parse(dom: Dom, page: int, source: str, marked: bool = False) -> None:
                     if marked and key == _MARK:
                         part = int(value)
                     elif key in NAMED:
-                        names = {x.lower() for x in _NAME.findall(value)}
+                        names, others = _names(value)
                         good += len(names & GOOD)
                         bad += len(names & BAD)
                         talk += len(names & COMMENT)
+                        about += len(others & (GOOD | BAD))
             level = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else 0
-            here = dom.node(page, stack[-1][1], KINDS[BLOCKS[tag]], level, good, bad, talk, part=part)
+            here = dom.node(page, stack[-1][1], KINDS[BLOCKS[tag]], level, good, bad, talk, about, part=part)
             stack.append((tag, here))
     if at < len(source):
         run.append(source[at:])
@@ -224,7 +243,7 @@ def features(dom: Dom) -> np.ndarray:
     stops = np.array([len(_STOP.findall(t)) if t else 0 for t in dom.text], np.float64)
     ends = np.array([t[-1:] in ".!?…" and t != "" for t in dom.text], np.float64)
     link = np.array(dom.link, np.float64)
-    good, bad, talk = (np.array(x, np.float64) for x in (dom.good, dom.bad, dom.talk))
+    good, bad, talk, about = (np.array(x, np.float64) for x in (dom.good, dom.bad, dom.talk, dom.about))
     is_ = {k: (kind == i).astype(np.float64) for k, i in KINDS.items()}
     safe = np.maximum(up, 0)
     tree = lambda v: _tree_sum(v, up, levels)
@@ -252,7 +271,7 @@ def features(dom: Dom) -> np.ndarray:
     before = np.cumsum(size) - size
     columns = [
         *(is_[k] for k in KINDS), np.array(dom.level, float), depth.astype(float), np.log1p(t_size), np.log1p(t_words), share(t_link, t_size), share(t_stops, t_words), share(t_words, t_leaf), share(t_ends, t_words),
-        np.log1p(t_leaf), np.log1p(t_p), np.log1p(t_item), t_head, share(t_bad, t_leaf), good, bad, talk, *chain.values(), children, rank, share(rank, mates), mates,
+        np.log1p(t_leaf), np.log1p(t_p), np.log1p(t_item), t_head, share(t_bad, t_leaf), good, bad, talk, about, np.log1p(t_leaf[root]), np.log1p(t_size[root]), *chain.values(), children, rank, share(rank, mates), mates,
         share(t_size, t_size[root]), share(t_size, parent(t_size)), mean(np.log1p(t_size)), mean(share(t_link, t_size)), mean(share(t_stops, t_words)), mean(is_["p"]), mean(is_["item"]),
         share(before - before[root], t_size[root]), *(np.where(parent_kind == KINDS[k], 1.0, 0.0) for k in ("p", "heading", "item", "div", "body", "article", "cell")),
         np.log1p(parent(t_size)), parent(share(t_link, t_size)), parent(share(t_stops, t_words)),
@@ -328,6 +347,9 @@ def decode(dom: Dom, odds: np.ndarray) -> np.ndarray:
     return kept
 
 
+#: Names of boxes around a training page's main part.
+WRAPS = ("page", "layout", "container", "wrap", "site", "row")
+
 #: Parts of training pages: which to keep.
 MAIN, REST = 1, 0
 
@@ -345,6 +367,11 @@ def _layout(rng: np.random.Generator, runs: list[str]) -> str:
         name = f' {pick("class", "id")}="{pick(*names)}"' if style in (1, 2) else f' class="{pick("a1", "x-7", "box", "col", "wrap", "c3")}"' if rng.random() < 0.5 else ""
         return f'<{tag}{name} {_MARK}="{part}">{body}</{tag}>'
 
+    def told(name: str) -> str:
+        """A container's name, at times with what else the page has or lacks."""
+        more = f'{pick("with", "no", "has", "without", "is")}-{pick("sidebar", "ads", "nav", "comments", "menu", "banner", "header", "widget", "promo")}'
+        return pick(f"{name}-{more}", f"{name} {more}", f"{more} {name}") if rng.random() < 0.3 else name
+
     def menu(n: int) -> str:
         items = [f'<a href="/{i}">{brief()}</a>' for i in range(n)]
         return pick("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items))
@@ -377,13 +404,16 @@ def _layout(rng: np.random.Generator, runs: list[str]) -> str:
         inside = box(REST, ("aside", "div"), ("ad", "advert", "promo", "sponsored", "related", "newsletter"), pick(line(), f"<p>{line()}</p>", menu(3)))
     head_in = pick(f"<header>{title}{date}</header>", title + date) if style in (0, 2) else title + date
     half = int(rng.integers(1, 5))
-    main = box(MAIN, ("article", "main", "section", "article"), ("content", "article-body", "post", "entry-content", "main", "story"), head_in + prose(half) + inside + prose(int(rng.integers(0, 10))))
+    main = box(MAIN, ("article", "main", "section", "article"), tuple(map(told, ("content", "article-body", "post", "entry-content", "main", "story", "wrap", "page"))), head_in + prose(half) + inside + prose(int(rng.integers(0, 10))))
     if rng.random() < 0.3:
-        main = f"<div>{main}</div>"
+        main = f"<div{pick('', f' class={chr(34)}{told(pick(*WRAPS))}{chr(34)}')}>{main}</div>"
     talk = ""
     if rng.random() < 0.5:
         said = "".join(pick(f"<li><b>{brief()}</b><p>{line()}</p></li>", f'<div class="comment"><p>{text()}</p></div>', f'<div class="comment"><span>{brief()}</span> {line()}</div>') for _ in range(rng.integers(1, 8)))
         talk = f'<{pick("section", "div", "ol")} {pick("class", "id")}="{pick("comments", "comment-list", "discussion", "responses comments")}" {_MARK}="0">{pick("", f"<h3>{brief(1, 3)}</h3>")}{said}</div></section></ol>'
+    if rng.random() < 0.12:  # a page of little but text: one paragraph, bare text, or text right in the body beside a menu
+        bare = pick(text(), f"<p>{text()}</p>", f"<p>{text()}", f"{text()}<p>{text()}</p>", f"{text()}<br><br>{text()}", f"<div>{text()}</div>", f"{title}{text()}", f"<p>{text()}</p><p>{text()}</p>")
+        return f'<body {_MARK}="1">{box(REST, ("nav",), ("nav", "menu"), menu(int(rng.integers(2, 6)))) if rng.random() < 0.3 else ""}{bare}</body>'
     parts = {
         "top": box(REST, ("header", "header", "div"), ("header", "masthead", "site-header", "banner"), pick(brief(), f"<h2>{brief()}</h2>", f"<p>{line()}</p>") + (menu(5) if rng.random() < 0.4 else "")),
         "nav": box(REST, ("nav",), ("nav", "menu", "navbar", "breadcrumbs"), menu(int(rng.integers(3, 12)))),
