@@ -271,9 +271,36 @@ def _cards(text: Column) -> Column:
     return _let(grouped, lambda g: F.concat(F.filter(g, whole), F.filter(g, lambda s: ~whole(s)), as_is))
 
 
+#: Characters by which values are told apart one after another; all values have more.
+SHARED = 12
+
+
+def _branches(values: Column) -> Column:
+    """A pattern of all values that looks at each of their first characters once, however many values begin with it.
+
+    Values in order of these characters are written as one tree: between two neighbours the branches close and open in which
+    they differ.  So how long a place of a text is looked at doesn't grow with their number.  Values that agree in all of
+    these characters stay in their order, and no two branches match at one place.
+    """
+    head = lambda v: F.substr(v, F.lit(1), F.lit(SHARED))
+    ordered = F.array_sort(F.transform(values, lambda v, i: F.struct(head(v).alias("h"), i.alias("i"), F.substr(v, F.lit(SHARED + 1)).alias("rest"))))
+
+    def written_out(s: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.element_at(s, i)["h"]).otherwise("")
+            alike = F.size(F.filter(F.sequence(F.lit(1), F.lit(SHARED)), lambda n: F.substr(before, F.lit(1), n) == F.substr(x["h"], F.lit(1), n)))
+            alike = F.when(i > 0, alike).otherwise(0)
+            opened = lambda n: F.concat(F.when(i > 0, F.concat(F.repeat(F.lit(")"), SHARED - n), F.lit("|"))).otherwise(""), F.regexp_replace(F.substr(x["h"], n + 1), "(.)", "$1(?:"))
+            return F.concat(_let(alike, opened), x["rest"])
+
+        return F.concat(F.array_join(F.transform(s, piece), ""), F.lit(")" * SHARED))
+
+    return _let(ordered, written_out)
+
+
 def _pattern(text: Column) -> Column:
     """What to look for in a text.  Accounts and cards go in as the valid ones that it holds, so what fails hides nothing behind it."""
-    numbers = lambda found, before, after: F.when(F.size(found) > 0, F.concat(F.lit(f"|{before}(?:"), F.array_join(F.array_distinct(found), "|"), F.lit(f"){after}"))).otherwise("")
+    numbers = lambda found, before, after: F.when(F.size(found) > 0, F.concat(F.lit(f"|{before}(?:"), _branches(F.array_distinct(found)), F.lit(f"){after}"))).otherwise("")
     accounts = F.when(text.rlike(ACCOUNT), _let(_accounts(text), lambda found: numbers(found, r"\b(?=[A-Z]{2}\d)", r"\b"))).otherwise("")
     cards = F.when(text.rlike(CARD), _let(_cards(text), lambda found: numbers(found, r"(?<!\d)(?=\d)", r"(?!\d)"))).otherwise("")
     fixed = lambda *patterns: "|".join(f"(?:{p})" for p in patterns)

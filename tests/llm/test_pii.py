@@ -154,3 +154,32 @@ def test_a_key_in_a_column_is_not_in_the_plan(spark):
     assert "hush" not in made._jdf.queryExecution().toString()
     assert [r["text"] for r in made.orderBy("doc_id").collect()] == changed(spark, ["1.2.3.4", None], key="hush-hush")
     assert "hush" not in made._jdf.queryExecution().toString() and made.columns == ["doc_id", "text", "_key"]
+
+
+def test_time_grows_with_length_however_many_values_are_valid(spark):
+    """Valid numbers, all beginning alike or not: four times the text takes less than eight times as long."""
+    def luhn(n):
+        body = f"{n:015}"
+        total = sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(body))
+        return body + str(-total % 10)
+
+    took = []
+    for n in (500, 2000):
+        rows = [(1, " ".join(luhn(400000000000000 + 7919 * i) for i in range(n))), (2, " ".join(luhn((i * 6364136223846793005) % 10**15) for i in range(n)))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        start = time.time()
+        got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df).collect()}
+        took.append(time.time() - start)
+        for doc_id, text in rows:
+            old, new = text.split(" "), got[doc_id].split(" ")
+            assert len(old) == len(new) and sum(a == b for a, b in zip(old, new)) < n / 100 and len(set(new)) == len(set(old))
+    assert took[1] < 8 * took[0]
+
+
+def test_branches_match_what_a_plain_list_does(spark):
+    values = ["4111 1111 1111 1111", "4111 1111 1111 1111 12", "4111111111111", "4111 1111 1112 1", "5500000000000004", "41111111111119"]
+    for order in (values, values[::-1], values[:1]):
+        pattern = spark.range(1).select(pii._branches(F.lit(order)).alias("p")).head()["p"]
+        for text in [*values, "x 4111 1111 1111 1111 12 y", "550000000000000412", "4111 1111", ""]:
+            plain, tree = re.search("|".join(order), text), re.search(pattern, text)
+            assert (plain and plain.span()) == (tree and tree.span()), (order, text)
