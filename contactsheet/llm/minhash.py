@@ -84,6 +84,9 @@ def weighted_shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np
 def signatures(elements: np.ndarray, bounds: np.ndarray, size: int, weights: np.ndarray | None = None) -> np.ndarray:
     """documents x size identities of the earliest darts; rows of documents without elements are all ones.
 
+    Coordinates that no dart reaches by time 4096, as in rows whose weights sum to little, hold a value of the row's own
+    elements and weights: they agree with those of equal rows, and else with none.
+
     Without weights rows are sets: an element that occurs twice throws the same darts twice, so repetitions don't
     matter.  With weights (positive, elements of a row distinct) an element's region is as wide as its weight: one
     region of width 1 for each whole unit, and for what is left one of which the darts beyond its width miss.
@@ -111,8 +114,10 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, size: int, weights: np.
             rows = rows[(out.reshape(docs, size)[rows] != full).all(axis=1)]
             live[rows] = False
             gone = len(rows) > 0
-        if not live.any() or cell + 2 >= len(_CELLS):
+        if not live.any():
             return out.reshape(docs, size)
+        if cell + 2 >= len(_CELLS):
+            return _closed(out.reshape(docs, size), live, owner, elements if width_of is None else elements ^ mix64(width_of.view(_U)))
         if gone:
             stay = live[owner]
             elements, owner, gone = elements[stay], owner[stay], False
@@ -136,6 +141,15 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, size: int, weights: np.
             np.minimum.at(out, at, mark)
 
 
+def _closed(out: np.ndarray, live: np.ndarray, owner: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """Signatures of rows that are still live with a value of their own elements in each open coordinate."""
+    rows, own_hash = np.flatnonzero(live), np.zeros(len(out), _U)
+    np.add.at(own_hash, owner, mix64(elements))
+    value = mix64(own_hash[rows, None] + np.arange(out.shape[1], dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(2**63)
+    out[rows] = np.where(out[rows] == _U(2**64 - 1), np.minimum(value, _U(2**64 - 2)), out[rows])
+    return out
+
+
 def _digests(words: Words, texts: pa.Array) -> list[bytes]:
     """Of the sequence of words; of the text itself where it has none."""
     data, starts, ends = words.data, words.starts, words.starts + words.lengths

@@ -416,3 +416,21 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert own.tolist() == [2] * 40 and tokens.tolist() == [65] * 40
     flat, start, length = grammar.expansions(64, made.rules, made.expansions)
     assert (grammar._spread(symbols[:1], flat, start, length) == row).all()
+
+
+def test_light_rows_agree_only_with_their_like():
+    """Rows whose weights sum to so little that darts don't reach all coordinates."""
+    one, two = np.arange(1, 11, dtype=np.uint64), np.arange(101, 111, dtype=np.uint64)
+    for weight in (0.01, 0.001, 1e-6):
+        got = minhash.signatures(np.concatenate([one, two, one]), np.array([0, 10, 20, 30]), 128, np.full(30, weight))
+        assert (got[0] == got[1]).sum() == 0 and (got[0] == got[2]).all()
+    other = minhash.signatures(np.concatenate([one, one]), np.array([0, 10, 20]), 128, np.repeat([0.001, 0.002], 10))
+    assert (other[0] == other[1]).mean() < 0.7
+    assert (minhash.signatures(one[:0], np.array([0, 0]), 16) == 2**64 - 1).all()
+
+
+def test_exact_dedup_of_rows_with_columns_of_any_type(spark):
+    rows = [(1, "a b", {"k": 1}, [{"x": 2}]), (2, "ab", {"k": 2}, None), (2, "ab", {"k": 3}, None), (3, None, None, [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _digest map<string,int>, _row array<map<string,int>>")
+    assert sorted((r["doc_id"], r["text"]) for r in exact.keep(df).collect()) == [(1, "a b"), (3, None)]
+    assert sorted(r["group_size"] for r in exact.mark(df).collect()) == [1, 3, 3, 3]
