@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.numbering import running_sum, with_block
 from ..params import DEFAULTS, ROTATE_JPEG, ROTATE_PIXELS, VIDEO
-from ..storage import written
+from ..storage import on_workers, written
 
 #: Order of operations unless the user gives another.
 OPERATIONS = ("dup-trash", "sim-trash", "orient-fix", "move-nonphotos", "rename-date", "fix-dates")
@@ -52,16 +54,91 @@ def plan_summary(plan: DataFrame, media: DataFrame) -> DataFrame:
     return both.groupBy("op_key").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def allocate_targets(claims: DataFrame, existing: DataFrame, most: int | None = None) -> DataFrame:
+#: Fixed value: a stem that another name's number would make.
+NUMBERED = r"^(.*)_([1-9]\d{0,8})$"
+
+
+def _parent_name(name: Column) -> Column:
+    """The name whose number makes this one; null if none does."""
+    stem = X.stem(name)
+    return F.when(stem.rlike(NUMBERED), F.concat(F.regexp_extract(stem, NUMBERED, 1), X.suffix(name)))
+
+
+def _families(names: DataFrame) -> DataFrame:
+    """dest_dir, name, family of wanted names (dest_dir, name) that one's number may make of another, named by the first."""
+    linked = names.withColumn("up", _parent_name(F.col("name"))).where("up is not null")
+    known = names.withColumnRenamed("name", "up")
+    linked = written(linked.join(known, ["dest_dir", "up"], "left_semi").select("dest_dir", "name", "up"), "linked")
+    tops = linked.select("dest_dir", F.col("up").alias("name")).distinct().join(linked, ["dest_dir", "name"], "left_anti").withColumn("up", F.col("name"))
+    chain = written(linked.unionByName(tops), "chains")
+    while True:  # each round doubles how far up a name looks
+        above = chain.select("dest_dir", F.col("name").alias("up"), F.col("up").alias("top"))
+        step = written(chain.join(above, ["dest_dir", "up"]).select("dest_dir", "name", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "chains")
+        chain = step.drop("moved")
+        if step.where("moved").limit(1).count() == 0:
+            return chain.withColumnRenamed("up", "family")
+
+
+def _one_by_one(most: int | None):
+    """Targets of claims that come by family: first the names that are taken, then the claims in their order."""
+    schema = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("dest_dir", pa.string()), ("name", pa.string()), ("target", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, taken, last = None, set(), {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (r["dest_dir"], r["family"]) != family:
+                    family, taken, last = (r["dest_dir"], r["family"]), set(), {}
+                if r["is_claim"] == 0:
+                    taken.add(r["name"])
+                    continue
+                got = r["name"]
+                if got in taken:
+                    n = last.get(got, 0) + 1
+                    while (tried := f"{r['stem']}_{n}{r['ext']}") in taken:
+                        n += 1
+                    last[got] = n - 1 if most is not None and n > most else n
+                    got = None if most is not None and n > most else tried
+                if got is not None:
+                    taken.add(got)
+                out.append((r["file_id"], r["path"], r["dest_dir"], r["name"], f"{r['dest_dir']}/{got}" if got is not None else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def _served_in_order(claims: DataFrame, existing: DataFrame, most: int | None) -> DataFrame:
+    """Claims of families, strictly by file_id.  A family goes through one task, row by row: that is what the order asks."""
+    on_workers(claims.sparkSession)
+    wanted = written(claims.select("dest_dir", "name").distinct(), "wanted-names")
+    family = _families(wanted)
+    own = claims.join(family, ["dest_dir", "name"])
+    there = existing.select(X.parent(F.col("path")).alias("dest_dir"), X.basename(F.col("path")).alias("base")).distinct()
+    made = there.withColumn("name", F.explode(F.array_compact(F.array("base", _parent_name(F.col("base"))))))
+    taken = made.join(family, ["dest_dir", "name"]).select("dest_dir", "family", F.col("base").alias("name")).distinct()
+    line = own.select("dest_dir", "family", F.lit(1).alias("is_claim"), "file_id", "path", "name", X.stem(F.col("name")).alias("stem"), X.suffix(F.col("name")).alias("ext"))
+    line = line.unionByName(taken.withColumn("is_claim", F.lit(0)), allowMissingColumns=True)
+    served = line.repartition("dest_dir", "family").sortWithinPartitions("dest_dir", "family", "is_claim", "file_id").mapInArrow(_one_by_one(most), "file_id long, path string, dest_dir string, name string, target string")
+    others = claims.join(family, ["dest_dir", "name"], "left_anti")
+    return served.unionByName(allocate_targets(others, existing, most))
+
+
+def allocate_targets(claims: DataFrame, existing: DataFrame, most: int | None = None, ref_compat: bool = False) -> DataFrame:
     """Where each claim (file_id, path, dest_dir, name) goes: the plain name if free, else the smallest free _n.
 
     Claims are served by file_id, those that get their plain name before all others, so which names are taken is known
-    at once and no claim waits for another.  (Serving strictly one by one would differ only where a claim's numbered name
-    is the plain name of a later claim: here the later one gets it.)  Names of `existing` (path) are taken; a file in
-    place already stays; beyond `most`, if given, a claim fails (null target).  A name that a large share of all claims
-    want is numbered in blocks.
+    at once and no claim waits for another.  (Serving strictly one by one differs only where a claim's numbered name
+    is the plain name of a later claim: here the later one gets it.  With `ref_compat` such names are served one by one.)
+    Names of `existing` (path) are taken; a file in place already stays; beyond `most`, if given, a claim fails (null
+    target).  A name that a large share of all claims want is numbered in blocks.
     """
     full = F.concat("dest_dir", F.lit("/"), "name")
+    if ref_compat:
+        moving = claims.where(F.col("path") != full).select("file_id", "path", "dest_dir", "name")
+        stays = claims.where(F.col("path") == full).select("file_id", "path", "dest_dir", "name", full.alias("target"))
+        return stays.unionByName(_served_in_order(moving, existing, most))
     stays = claims.where(F.col("path") == full).select("file_id", "path", "dest_dir", "name", full.alias("target"))
     rows = claims.where(F.col("path") != full).withColumn("_stem", X.stem(F.col("name"))).withColumn("_ext", X.suffix(F.col("name")))
     there = existing.select(F.col("path").alias("_path")).distinct()

@@ -491,11 +491,20 @@ def _targets(claims: str) -> tuple[str, ...]:
 _CLAIMS = f"select file_id, path, directory dest_dir, case when file_id%3=0 then filename when file_id%3=1 then 'IMG' || {NAME_SUFFIX} else 'IMG_' || (file_id%40) || {NAME_SUFFIX} end as name from media"
 
 
-@query("select * from targets", *_targets(_CLAIMS))
-def allocate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, i, e = fx.media(spark, sf_dir), C("file_id"), X.suffix(C("filename"))
     name = F.when(i % 3 == 0, C("filename")).when(i % 3 == 1, F.concat(F.lit("IMG"), e)).otherwise(F.concat(F.lit("IMG_"), i % 40, e))
-    return plan.allocate_targets(m.select("file_id", "path", C("directory").alias("dest_dir"), name.alias("name")), m)
+    return m.select("file_id", "path", C("directory").alias("dest_dir"), name.alias("name"))
+
+
+@query("select * from targets", *_targets(_CLAIMS))
+def allocate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.allocate_targets(_claims(spark, sf_dir), fx.media(spark, sf_dir))
+
+
+@query()
+def allocate_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.allocate_targets(_claims(spark, sf_dir), fx.media(spark, sf_dir), ref_compat=True)
 
 
 @query("select * from targets", CLASSIFIED, *_targets("select file_id, path, '/library/_non_photos/' || category dest_dir, filename as name from classified"))
