@@ -26,6 +26,7 @@ def screenshot_by_metadata() -> Column:
 def classify_non_photos(media: DataFrame) -> DataFrame:
     """Files of the four categories, the first that fits; recordings are videos only and come first."""
     ext, f = F.col("extension"), families(F.col("filename"))
+    # Categories and reasons.
     rules = [
         (ext.isin(*VIDEO) & f["recording"], "screen_recording", "Filename matches screen recording pattern"),
         (f["screenshot"], "screenshot", "Filename matches screenshot pattern"),
@@ -46,5 +47,6 @@ def non_photo_stats(classified: DataFrame) -> DataFrame:
 
 def validate_moves(requests: DataFrame, base: str) -> DataFrame:
     """Requests (file_id, path, category) that may be carried out, and why the others may not."""
+    # Statuses.
     why = F.when(~F.col("category").isin(*CATEGORIES), "Invalid category").when(~X.path_within(F.col("path"), F.lit(base)), "Path outside base directory")
     return requests.select("file_id", "path", "category", F.coalesce(why, F.lit("ok")).alias("status"))

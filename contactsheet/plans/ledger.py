@@ -15,6 +15,7 @@ SESSION_SCHEMA = "session_id int, timestamp string, operations array<struct<type
 def ledger_append(operations: DataFrame) -> DataFrame:
     """Operation rows (session_id, file_id, type, file, old_value, new_value) with position and a text of what was done."""
     c = F.col
+    # Types and how they are told.
     move = F.concat(X.basename(c("old_value")), F.lit(" -> "), X.basename(c("new_value")))
     detail = (
         F.when(c("type") == "TRASH", F.concat(F.lit("Moved to trash: "), X.basename(c("file"))))
@@ -55,6 +56,7 @@ def undo_plan(flat: DataFrame, media: DataFrame, ref_compat: bool = False) -> Da
     known = media.select(F.col("path").alias("_at")).distinct().withColumn("_there", F.lit(True))
     rows = rows.withColumn("_at", left_at).join(known, "_at", "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
     moved = ["RENAME"] if ref_compat else ["RENAME", "MOVE"]
+    # Why an operation isn't undone.
     no_old = F.coalesce(c("old_value"), F.lit("")) == ""
     action = (
         F.when(c("type") == "TRASH", "manual")

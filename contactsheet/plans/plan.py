@@ -185,6 +185,7 @@ def validate_renames(renames: DataFrame, media: DataFrame) -> DataFrame:
     same = F.count("*").over(Window.partitionBy("new_path"))
     rows = renames.select("file_id", "path", "new_path", same.alias("_same"))
     rows = rows.join(known.select("path", F.lit(True).alias("_old")), "path", "left").join(known.select(F.col("path").alias("new_path"), F.lit(True).alias("_new")), "new_path", "left")
+    # Statuses.
     status = F.when(F.col("_old").isNull(), "Source not found").when(F.col("_new").isNotNull() | (F.col("_same") > 1), "Target already exists").otherwise("ok")
     return rows.select("file_id", "path", "new_path", status.alias("status"))
 
@@ -202,6 +203,7 @@ def date_fix_plan(mismatches: DataFrame) -> DataFrame:
 
 def rotation_plan(detections: DataFrame) -> DataFrame:
     ext = F.col("extension")
+    # What can't be rotated.
     how = F.when(~F.col("rotation").isin(90, 180, 270), F.concat(F.lit("Invalid rotation: "), F.col("rotation").cast("string")))
     how = how.when(ext.isin(*ROTATE_JPEG), "jpeg").when(ext.isin(*ROTATE_PIXELS), "pixels").when(ext.isin(*VIDEO), "video-metadata").otherwise(F.concat(F.lit("Unsupported format: "), ext))
     return detections.select("file_id", "path", "rotation", how.alias("strategy"))

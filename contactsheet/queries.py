@@ -572,6 +572,11 @@ def folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.folder_summary(_named(spark, sf_dir))
 
 
+@query(f"select coalesce(label, 'TOTAL') folder, count(*) files from named where not (label = 'Unknown' and {HAS_GPS}) group by rollup(label)", *GEO)
+def folder_summary_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.folder_summary(_named(spark, sf_dir), ref_compat=True)
+
+
 @query("select * from targets", *GEO, *_targets("select file_id, path, '/library/' || label dest_dir, filename as name from named where '/library/' || label || '/' || filename <> path"))
 def location_move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.location_move_plan(_named(spark, sf_dir), fx.media(spark, sf_dir))
@@ -726,11 +731,19 @@ UNDO = """case "type" when 'TRASH' then 'manual' when 'RENAME' then case when th
  when 'DATE_FIX' then case when o = '' then 'No old value' when there then 'restore date' else 'File not found' end when 'CONVERT' then case when there then 'trash converted' else 'File not found' end else 'Unknown operation type' end"""
 
 
-@query(f"select session_id, (row_number() over (partition by session_id order by pos desc))::int step, pos, \"type\", src as \"source\", old_value target, {UNDO} as \"action\", {UNDO} in ('move back', 'remove GPS', 'restore GPS', 'restore orientation', 'restore date', 'trash converted') success, try_cast(split_part(nullif(case when \"type\" = 'GPS' then o end, ''), ',', 1) as double) lat, try_cast(split_part(nullif(case when \"type\" = 'GPS' then o end, ''), ',', 2) as double) lon from (select *, src in (select path from media) there, coalesce(old_value, '') o from (select *, case when \"type\" in ('RENAME', 'MOVE', 'CONVERT') then new_value else file end src from flat where not undone))", fx.OPS_SQL, FLAT)
+UNDO_ROWS = "select session_id, (row_number() over (partition by session_id order by pos desc))::int step, pos, \"type\", src as \"source\", old_value target, @UNDO@ as \"action\", @UNDO@ in ('move back', 'remove GPS', 'restore GPS', 'restore orientation', 'restore date', 'trash converted') success, try_cast(split_part(nullif(case when \"type\" = 'GPS' then o end, ''), ',', 1) as double) lat, try_cast(split_part(nullif(case when \"type\" = 'GPS' then o end, ''), ',', 2) as double) lon from (select *, src in (select path from media) there, coalesce(old_value, '') o from (select *, case when \"type\" in ('RENAME', 'MOVE', 'CONVERT') then new_value else file end src from flat where not undone))"
+
+
+@query(UNDO_ROWS.replace("@UNDO@", UNDO), fx.OPS_SQL, FLAT)
 def undo_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.undo_plan(ledger.ledger_flatten(fx.sessions(spark, sf_dir)), fx.media(spark, sf_dir))
 
 
+@query(UNDO_ROWS.replace("@UNDO@", UNDO.replace("when 'MOVE' then case when there then 'move back' else 'File not found' end", "")), fx.OPS_SQL, FLAT)
+def undo_plan_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.undo_plan(ledger.ledger_flatten(fx.sessions(spark, sf_dir)), fx.media(spark, sf_dir), ref_compat=True)
+
+
 @query("select session_id, undone or session_id = 1 undone, case when session_id = 1 then '2024-02-01T00:00:00' end undone_at from (select distinct session_id, undone from flat)", fx.OPS_SQL, FLAT)
 def mark_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.mark_undone(fx.sessions(spark, sf_dir), 1, "2024-02-01T00:00:00").select("session_id", "undone", "undone_at")

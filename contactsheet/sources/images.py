@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -125,9 +126,11 @@ def onnx_scorer(model: str) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def score_images(images: DataFrame, scorer: Callable[[np.ndarray], np.ndarray] | None, size: int = 32) -> DataFrame:
-    """path, logits of each picture; without a scorer no rows."""
+    """path, logits of each picture; without a scorer no rows, and an error in the log."""
     if scorer is None:
+        logging.getLogger(__name__).error("there is no model, so no picture is scored")
         return images.sparkSession.createDataFrame([], "path string, logits array<double>")
+    on_workers(images.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

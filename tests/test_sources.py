@@ -187,3 +187,33 @@ def test_dumps_that_are_not_sound(spark, tmp_path):
     (tmp_path / "2" / "b.json").write_text(f"[{sound}]")
     assert metadata.read_exif_json(spark, str(tmp_path / "2")).count() == 1
     assert [r["SourceFile"] for r in metadata.read_exif_json(spark, str(tmp_path / "4"), strict=False).collect()] == ["/a"]
+
+
+def field(n, value):
+    """One field of a protocol buffer: a number, a text or a nested message."""
+    size = lambda v: bytes([*((v >> s) & 127 | 128 for s in range(0, max(0, v.bit_length() - 1) // 7 * 7, 7)), v >> (max(0, v.bit_length() - 1) // 7 * 7)])
+    if isinstance(value, int):
+        return size(n << 3) + size(value)
+    value = value.encode() if isinstance(value, str) else value
+    return size(n << 3 | 2) + size(len(value)) + value
+
+
+def mean_model():
+    """An ONNX model that gives each picture's mean by channel."""
+    tensor = lambda name, dims: field(1, name) + field(2, field(1, field(1, 1) + field(2, b"".join(field(1, field(2, d) if isinstance(d, str) else field(1, d)) for d in dims))))
+    nodes = field(1, field(1, "x") + field(2, "m") + field(4, "GlobalAveragePool")) + field(1, field(1, "m") + field(2, "y") + field(4, "Flatten"))
+    graph = nodes + field(2, "g") + field(11, tensor("x", ["n", 3, 384, 384])) + field(12, tensor("y", ["n", 3]))
+    return field(1, 8) + field(7, graph) + field(8, field(2, 13))
+
+
+def test_scoring_by_a_model_file(spark, tmp_path, caplog):
+    rng = np.random.default_rng(4)
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        png(tmp_path / "in" / f"{i}.png", rng.integers(0, 255, (30 + i, 40, 3)))
+    (tmp_path / "model.onnx").write_bytes(mean_model())
+    pictures = images.read_images(spark, str(tmp_path / "in"))
+    got = {r["path"]: r["logits"] for r in images.score_images(pictures, images.onnx_scorer(str(tmp_path / "model.onnx")), size=2).collect()}
+    plain = {r["path"]: images.preprocess(images.pixels(r["data"], r["height"], r["width"], r["nChannels"])).mean(axis=(1, 2)) for r in pictures.collect()}
+    assert got.keys() == plain.keys() and all(np.allclose(got[p], plain[p], atol=1e-4) for p in got)
+    assert images.score_images(pictures, None).count() == 0 and "no model" in caplog.text
