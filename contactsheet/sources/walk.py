@@ -22,8 +22,8 @@ from . import store
 #: Entries that a task sees for one item before it leaves the folders it found to the next round, and of them those
 #: whose sizes it looks up itself.
 MOST_SEEN, MOST_LOOKED_UP = 4096, 4096
-#: Items of one task.
-ITEMS = 64
+#: Folders, and files to look up, of one task.
+ITEMS, LOOKED_UP = 64, 4096
 
 _FOUND = pa.schema([("kind", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("mtime_us", pa.int64()), ("error", pa.string())])
 
@@ -95,13 +95,13 @@ def walk(spark: SparkSession, base: str, most_seen: int = MOST_SEEN, most_looked
     """
     on_workers(spark)
     at = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
-    left, n, turn = spark.createDataFrame([("folder", base)], "kind string, path string"), 1, 0
+    left, n, turn = spark.createDataFrame([("folder", base)], "kind string, path string"), {"folder": 1}, 0
     schema = "kind string, path string, size long, mtime_us long, error string"
     while n:
-        tasks = max(-(-n // items), min(n, spark.sparkContext.defaultParallelism))
+        tasks = max(-(-n.get("folder", 0) // items) + -(-n.get("unseen", 0) // LOOKED_UP), min(sum(n.values()), spark.sparkContext.defaultParallelism))
         left.repartition(tasks).mapInArrow(_visits(most_seen, most_looked_up), schema).write.parquet(f"{at}/round={turn}")
         left = spark.read.schema(schema).parquet(f"{at}/round={turn}").where("kind in ('folder', 'unseen')").select("kind", "path")
-        n, turn = left.count(), turn + 1
+        n, turn = {r["kind"]: r["count"] for r in left.groupBy("kind").count().collect()}, turn + 1
     rows = spark.read.schema(f"{schema}, round int").parquet(at).where("kind in ('file', 'error')")
     return rows.select("kind", "path", "size", F.timestamp_micros("mtime_us").alias("mtime"), "error")
 
