@@ -12,6 +12,7 @@ import corpus_pipeline
 from contactsheet.llm import bpe, minhash, queries, toxicity
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, _node long, _key string, score double"
+CONVERSATIONS = "conv_id long, turn long, role string, text string, audit string"
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -46,13 +47,15 @@ def small(spark, texts, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     vectors = [(i, [float(i % 7), float(i), 1.0], 0) for i in range(0, 320, 20)] + [(100, None, 1), (None, [1.0, 2.0, 3.0], 1)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    talk = [(c, t, ("user", "assistant")[t % 2], f"Turn {t} of {c}.") for c in range(30) for t in range(4)] + [(None, None, None, None), (7, 2, "assistant", ""), (50, 1, "user", "long " * 9000)]
+    spark.createDataFrame([(*r, "x") for r in talk], CONVERSATIONS).repartition(3).write.parquet(f"{at}/conversations.parquet")
     return str(at)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
-    for name, schema in (("documents", DOCUMENTS), ("labels", LABELS), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
+    for name, schema in (("documents", DOCUMENTS), ("labels", LABELS), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("conversations", CONVERSATIONS)):
         spark.createDataFrame([], schema).write.parquet(f"{at}/{name}.parquet")
     return str(at)
 
@@ -60,7 +63,7 @@ def empty(spark, tmp_path_factory):
 def test_queries_over_odd_rows(spark, small, texts):
     n = len(texts) + 3
     got = {name: query(spark, small).collect() for name, query in queries.QUERIES.items()}
-    for name in ("op1_toxicity", "op2_bpe", "op3_exact_dedup", "op4_minhash", "op8_pii", "op9_sharding", "op10_token_ids"):
+    for name in ("op1_toxicity", "op2_bpe", "op3_exact_dedup", "op4_minhash", "op8_pii", "op9_sharding", "op10_token_ids", "op12_language_id", "op13_periodic_runs"):
         assert len(got[name]) == n, name
     one = {r["doc_id"]: r for r in got["op1_toxicity"]}
     assert all(r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for i, r in one.items())
@@ -79,6 +82,14 @@ def test_queries_over_odd_rows(spark, small, texts):
     assert six[2, None] == "" and len(got["op6_main_text"]) == 4
     seven = [r for r in got["op7_nearest"] if r["query_id"] == 100]
     assert {r["query_id"] for r in got["op7_nearest"]} == {0, 100, 200, 300} and [r["rank"] for r in sorted(seven, key=lambda r: r["rank"])] == list(range(1, 11)) and min(r["score"] for r in seven) > 0
+    eleven = {r["conv_id"]: r for r in got["op11_conversation_repair"]}
+    assert len(got["op11_conversation_repair"]) == 32 and eleven.keys() == {*range(30), 50, None} and eleven[7]["blank"] >= 1
+    twelve = {r["doc_id"]: r for r in got["op12_language_id"]}
+    assert all(r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for i, r in twelve.items())
+    assert {i for i, r in twelve.items() if r["lang_pred"] == "und"} >= {200, 201, 202} and twelve[1]["lang_pred"] == "en"
+    thirteen = {r["doc_id"]: r for r in got["op13_periodic_runs"]}
+    assert thirteen[200]["n_runs"] == 0 and thirteen[200]["collapsed_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert (thirteen[207]["n_runs"], thirteen[207]["period"], thirteen[207]["length"]) == (1, 1, 30000)
 
 
 def test_queries_over_empty_tables(spark, empty):
