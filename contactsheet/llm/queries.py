@@ -18,4 +18,4 @@ QUERIES = {
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
-SQL = {"op3_exact_dedup": exact.OP3_SQL, "op7_nearest": ann.OP7_SQL}
+SQL = {"op3_exact_dedup": exact.OP3_SQL, "op7_nearest": ann.OP7_SQL, "op11_conversation_repair": repair.OP11_SQL}

@@ -419,3 +419,62 @@ def repair(conversations: DataFrame) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation of `conversations`; see `repair`."""
     return repair(table(spark, sf_dir, "conversations"))
+
+
+def _least_of(*ways: str) -> str:
+    """SQL of the best of some ways (structs of cost, audit, text)."""
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way(of: str, cost: str, letter: str, line: str = "''", free: str = "true") -> str:
+    """SQL of a way that one more edit makes of another, out of reach unless it is `free` to be taken."""
+    return f"{{'c': case when {free} then {of}.c + {cost} else 1000000000 end, 'a': {of}.a || '{letter}', 't': {of}.t || {line}}}"
+
+
+_OPEN, _LATE = "fault not in ('b', 'd')", "(fault = 't')::int"
+_SAID = "chr(10) || {} || ':' || text"
+_ADDED = {"u": "chr(10) || 'user:'", "a": "chr(10) || 'assistant:'"}
+_KEPT = {k: f"{_OPEN} and role[1] = '{k}'" for k in "sua"}
+
+
+def _kept(of: str, k: str) -> str:
+    return _way(of, _LATE, "K", _SAID.format("role"), _KEPT[k])
+
+
+def _rerolled(of: str, role: str) -> str:
+    return _way(of, f"2 + {_LATE}", "R", _SAID.format(f"'{role}'"), _OPEN)
+
+
+_TAKEN = {
+    "s0": _way("s0", "3", "D"),
+    "s1": _least_of(_way("s1", "3", "D"), _kept("s0", "s")),
+    "s2": _least_of(_way("s2", "3", "D"), *(_rerolled(s, "user") for s in ("s0", "s1", "s3")), *(_kept(s, "u") for s in ("s0", "s1", "s3"))),
+    "s3": _least_of(_way("s3", "3", "D"), _rerolled("s2", "assistant"), _kept("s2", "a")),
+}
+_FAR = "{'c': 1000000000, 'a': '', 't': ''}"
+
+#: The contract in DuckDB's SQL: crc32 by its table, then the best way to each state, row by row.
+OP11_SQL = rf"""
+with recursive
+crcs as materialized (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+keyed as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') x, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations),
+fated as (select keyed.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 fate from keyed, crcs),
+hurt as (select conv_id, turn, case when fate = 4 then 'user' else r end as role, case when fate = 1 then '' when fate = 2 then regexp_replace(x, '[.!?]', '', 'g') else x end as text, copy
+  from fated, (values (1), (2)) copies(copy) where fate <> 0 and (copy = 1 or fate = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) i from hurt),
+faulty as materialized (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+  when regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') then 't' else '' end fault,
+  lag(role[1]) over (partition by conv_id order by i) || role[1] pair, lag(i) over (partition by conv_id order by i) before from placed),
+ways as (
+  select conv_id, 0::bigint i, {{'c': 0, 'a': '', 't': ''}} s0, {_FAR} s1, {{'c': 2, 'a': 'I', 't': chr(10) || 'user:'}} s2, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} s3 from (select distinct conv_id from faulty)
+  union all
+  select conv_id, i, s0, s1, s2, {_least_of("s3", _way("s2", "2", "I", _ADDED["a"]))} s3 from (
+    select conv_id, i, s0, s1, s3, {_least_of("s2", *(_way(s, "2", "I", _ADDED["u"]) for s in ("s0", "s1", "s3")))} s2 from (
+      select w.conv_id, f.i, {", ".join(f"{v} {k}" for k, v in _TAKEN.items())} from ways w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1))),
+best as (select conv_id, {_least_of("s0", "s3")} b from (select *, row_number() over (partition by conv_id order by i desc) last from ways) where last = 1),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate, count(*) filter (fault = 't') truncated,
+  count(*) filter (before is not null and pair not in ('su', 'ua', 'au')) illegal from faulty group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal,
+  coalesce(b.c, 0)::bigint as "cost", coalesce(b.a, '') audit, sha256(coalesce(b.t[2:], '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join told on told.conv_id is not distinct from c.conv_id left join best on best.conv_id is not distinct from c.conv_id
+"""
