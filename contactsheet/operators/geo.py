@@ -101,6 +101,8 @@ def _tree(spots: DataFrame, leaf: int) -> tuple[list[DataFrame], DataFrame]:
         nodes.append(written(bounds, "cells"))
         ends = nodes[-1].where("_leaf").select("_cell")
         held.append(left.join(ends, "_cell", "left_semi").withColumn("_level", F.lit(level)))
+        if nodes[-1].where("not _leaf").limit(1).count() == 0:
+            break
         left = left.join(ends, "_cell", "left_anti")
     return nodes, written(reduce(DataFrame.unionByName, held), "spots")
 
