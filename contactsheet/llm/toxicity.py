@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, on_workers, steps, table
+from .common import frugal, on_workers, release, steps, table
 from .flat import Words, segment_hash
 
 #: Frequent function words by language.
@@ -346,6 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> Model | None:
         aside = used = np.arange(len(y))
     m = train(_part(batch, used), y[used])
     calibrate(m, _part(batch, aside), y[aside])
+    del batch
+    release()  # what follows in this driver, other stages say, needs its memory
     return m
 
 
