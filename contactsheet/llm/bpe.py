@@ -26,13 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, on_workers, steps, table
+from .common import frugal, on_workers, release, steps, table
 from .flat import flat_bytes
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Bytes of text whose words are looked up together: the more, the fewer distinct words in all.
 ENCODE_BYTES = 8 << 20
+#: Bytes of whole texts that are cut into words at once, and words whose ids are put in a row at once: either takes some
+#: twenty times that memory.
+CUT_BYTES, SPREAD_WORDS = 1 << 20, 1 << 17
 #: Words beyond so many bytes are walked one by one.
 LONG_WORD = 40
 
@@ -120,11 +123,16 @@ class Coded:
     count: np.ndarray
 
     def spread(self) -> tuple[np.ndarray, np.ndarray]:
-        per = self.count[self.codes]
-        ends = np.cumsum(per)
-        index = np.repeat((np.cumsum(self.count) - self.count)[self.codes] - (ends - per), per)
-        index += np.arange(len(index))
-        return self.flat[index], np.concatenate([[0], ends])[self.docs].astype(np.int64)
+        per = self.count.astype(np.int32)[self.codes]
+        ends = np.zeros(len(per) + 1, np.int64)
+        np.cumsum(per, out=ends[1:])
+        first, out = np.cumsum(self.count) - self.count, np.empty(int(ends[-1]), self.flat.dtype)
+        for a in range(0, len(per), SPREAD_WORDS):
+            b = min(a + SPREAD_WORDS, len(per))
+            index = np.repeat(first[self.codes[a:b]] - ends[a:b], per[a:b])
+            index += np.arange(ends[a], ends[b])
+            out[ends[a] : ends[b]] = self.flat[index]
+        return out, ends[self.docs]
 
 
 class Automaton:
@@ -349,15 +357,17 @@ class Automaton:
         if len(odd):
             # Behind the words follow the special tokens.  Plain documents come first so far, the others after them.
             special = sorted(self.special.values())
-            fixed = np.array([special.index(x) if isinstance(x, int) else -1 for x in pieces], np.int64)
-            code = code.astype(np.int64)
+            fixed = np.array([special.index(x) if isinstance(x, int) else -1 for x in pieces], np.int32)
+            code = code.copy()
             code[len(cuts) :][fixed >= 0] = len(count) + fixed[fixed >= 0]
             flat, count = np.append(flat, np.array(special, np.uint32)), np.append(count, np.ones(len(special), np.int64))
             place = np.zeros(n, np.int64)
             place[plain] = np.cumsum(own[plain]) - own[plain]
             place[odd] = len(cuts) + np.cumsum(own[odd]) - own[odd]
             total = np.cumsum(own)
-            code = code[np.repeat(place - (total - own), own) + np.arange(int(total[-1]))]
+            at = np.repeat(place - (total - own), own)
+            at += np.arange(len(at))
+            code = code[at]
         return Coded(code, np.concatenate([[0], np.cumsum(own)]), flat, count)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -370,9 +380,20 @@ class Automaton:
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which documents are plain (ASCII and Latin letters), and where words start in all of them."""
         data, bounds = flat_bytes(texts)
+        plain, cuts, a = np.ones(len(texts), bool), [np.empty(0, np.int64)], 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + CUT_BYTES, side="right")) - 1)
+            plain[a:b], cut = self._cut_some(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            cuts.append(cut + bounds[a])
+            a = b
+        for word in self.special:
+            plain &= ~pc.match_substring(pc.fill_null(texts, ""), word).to_numpy(zero_copy_only=False)
+        return plain, np.concatenate(cuts), data, bounds
+
+    def _cut_some(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
-            return np.ones(len(texts), bool), np.empty(0, np.int64), data, bounds
+            return np.ones(len(bounds) - 1, bool), np.empty(0, np.int64)
         kind = self._KIND[data]
         bad = kind == 4
         lead = data == 195
@@ -396,13 +417,10 @@ class Automaton:
         cut = np.where(white, ~was_white | (~will_white & ~last), np.where(was_white, ~was_blank, kind != was_kind))
         cut |= start
         self._contractions(data, cut, start)
-        plain = np.ones(len(texts), bool)
+        plain = np.ones(len(bounds) - 1, bool)
         if bad.any():
             plain[np.searchsorted(bounds, np.flatnonzero(bad), side="right") - 1] = False
-        if self.special:
-            for word in self.special:
-                plain &= ~pc.match_substring(pc.fill_null(texts, ""), word).to_numpy(zero_copy_only=False)
-        return plain, np.flatnonzero(cut), data, bounds
+        return plain, np.flatnonzero(cut)
 
     @staticmethod
     def _contractions(data: np.ndarray, cut: np.ndarray, start: np.ndarray) -> None:
@@ -449,8 +467,11 @@ def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, ends[-1]).astype(np.int64)), pa.py_buffer(data)])
     size = ends - starts
     bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    got = data[np.repeat(starts - bounds[:-1], size) + np.arange(bounds[-1])] if len(starts) else np.empty(0, np.uint8)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(got))])
+    got = np.empty(int(bounds[-1]), np.uint8)
+    for a in range(0, len(starts), SPREAD_WORDS):
+        b = min(a + SPREAD_WORDS, len(starts))
+        got[bounds[a] : bounds[b]] = data[np.repeat(starts[a:b] - bounds[a:b], size[a:b]) + np.arange(bounds[a], bounds[b])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(got)])
 
 
 _AUTOMATA: dict[str, Automaton] = {}
@@ -460,6 +481,7 @@ def automaton(path: str) -> Automaton:
     """Compiled once in each Python worker."""
     if path not in _AUTOMATA:
         _AUTOMATA[path] = Automaton(path)
+        release()  # the vocabulary as read
     return _AUTOMATA[path]
 
 

@@ -27,9 +27,11 @@ def release() -> None:
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run`, after which the worker hands the memory it no longer uses back, since the next stage may run in another."""
+    """`run`, after which the worker hands the memory it no longer uses back, since the next stage may run in another;
+    before it, what the worker's last task still held when it ended: its last batch, a model."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         try:
             yield from run(batches)
         finally:

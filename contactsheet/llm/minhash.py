@@ -181,7 +181,7 @@ def signed(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_digests(words, texts), pa.binary()), lists], [*batch.schema.names, "_digest", "_bands"])
 
-    return written(base.mapInArrow(frugal(run), schema), "signed")
+    return written(base.mapInArrow(frugal(run), schema), "signed", small=True)
 
 
 def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -224,7 +224,7 @@ def prefix_pairs(probe: DataFrame, index: DataFrame, rows: DataFrame, least: flo
             owner = np.repeat(batch.column("node").to_numpy(), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["node", "token"])
 
-    tokens = written(texts.mapInArrow(frugal(run), "node long, token long"), "tokens")
+    tokens = written(texts.mapInArrow(frugal(run), "node long, token long"), "tokens", small=True)
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
     # What is known of a node joins its one row here, before its shingles become rows.
@@ -303,7 +303,7 @@ def classes(rows: DataFrame) -> DataFrame:
     texts = rows.select("_node", "text").join(bucket.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi")
     texts = written(texts, "texts")
     tried = written(_ordered(bucket.where("node <> hub"), "hub", "node").distinct(), "pairs")
-    links = written(similar_pairs(tried, texts), "links")
+    links = written(similar_pairs(tried, texts), "links", small=True)
     comp = components(links)
     for turn in range(HUB_TURNS + 1):
         inside = _mixed(bucket, comp)
@@ -325,7 +325,7 @@ def classes(rows: DataFrame) -> DataFrame:
             probe, index = (written(x.where(large).select("node", "comp").distinct(), "large") for x in (outer, inside))
             cross = cross.union(prefix_pairs(probe, index, texts))
         fresh = written(_ordered(cross, "x", "y").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(similar_pairs(fresh, texts), "links")
+        more = written(similar_pairs(fresh, texts), "links", small=True)
         tried = tried.union(fresh)
         if more.limit(1).count():
             comp = components(more, comp)

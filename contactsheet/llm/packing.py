@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ENCODE_BYTES, automaton, tokenizer_path
+from .bpe import automaton, tokenizer_path
 from .common import frugal, on_workers, steps, table, written
 
 Plan = list[tuple[dict[int, int], int]]
+#: Bytes of text encoded at once: workers here come beside those of stages before, so memory counts more than repeated words.
+PACK_BYTES = 4 << 20
 
 
 def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +158,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(path)
-        for batch in steps(batches, most=ENCODE_BYTES):
+        for batch in steps(batches, most=PACK_BYTES):
             ids, bounds = a.encode(batch.column("text"))
             ids = ids.astype("<u4", copy=False)
             size = np.diff(bounds) + 1
@@ -178,7 +180,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_i
 def assign(cut: DataFrame, capacity: int = 1024, task_rows: int = 1 << 20, spread: int = 128) -> DataFrame:
     """`cut` (a table with `length`) with sequence_id and offset: no sequence beyond `capacity`, none with a gap."""
     spark = cut.sparkSession
-    tagged = written(cut.withColumn("_tag", F.monotonically_increasing_id()), "pieces")
+    tagged = written(cut.withColumn("_tag", F.monotonically_increasing_id()), "pieces", small=True)
     many = np.zeros(capacity + 1, np.int64)
     for r in tagged.groupBy("length").count().collect():  # at most `capacity` rows
         many[r["length"]] = r["count"]

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contactsheet.llm import bpe, exact, grammar, minhash, packing, pii, sharding, toxicity
+from contactsheet import storage
+from contactsheet.llm import bpe, common, exact, grammar, minhash, packing, pii, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _node long"
 
@@ -57,6 +58,38 @@ def test_encoding_random_strings():
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == library_ids(some)[1]
 
 
+def test_encoding_takes_a_few_times_the_memory_of_the_texts():
+    import tracemalloc
+
+    rng = random.Random(9)
+    some = [prose(rng, 400) + "\n\n it's 12" for _ in range(3300)] + ["", None, "日本語 \x00"] + [prose(rng, 300000)]
+    a, size = bpe.automaton(bpe.tokenizer_path()), sum(len(x or "") for x in some)
+    texts = pa.array(some)
+    a.encode(texts)  # what is kept of it comes first
+    tracemalloc.start()
+    ids, bounds = a.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * size
+    want = library_ids(some[:20] + some[3290:])[1]
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in [*range(20), *range(3290, len(some))]] == want
+
+
+def test_workers_get_small_batches_of_long_rows(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = common.written(rows.mapInArrow(sizes, "n long, size long"), "sizes", small=True).collect()
+    assert sum(r["n"] for r in got) == 3000
+    assert max(r["size"] for r in got) < 2 * storage.BATCH_BYTES
+    assert spark.conf.get(key, None) == before
+
+
 def test_encoding_long_words_fast():
     import base64
     import time
