@@ -17,10 +17,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject.
 
     Texts that are null, empty or without words score 0 and stay, as all do without labels of both classes; repeated
-    rows score alike and stay or go together.  It learns from the rows of `docs` that have labels.
+    rows score alike and stay or go together.  It learns from the rows of `docs` that have labels.  The rows come from a
+    table written here, since whoever writes a lazy result decides how large the workers' batches are.
     """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return written(toxicity.score(docs, model).where("predicted = 0").select(docs.columns), "clean", small=True)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

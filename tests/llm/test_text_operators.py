@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from contactsheet import storage
 from contactsheet.llm import bpe, common, exact, grammar, minhash, packing, pii, sharding, toxicity
 
@@ -90,6 +91,21 @@ def test_workers_get_small_batches_of_long_rows(spark):
     assert spark.conf.get(key, None) == before
 
 
+def test_the_pipeline_scores_small_batches(spark, monkeypatch):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 5000).alias("text"), F.lit(0).cast("long").alias("n_chars"))
+
+    def sizes(batches):
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([b.nbytes] * n), pa.array([0] * n, pa.int32())], ["doc_id", "text", "n_chars", "predicted"])
+
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *x: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *x: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda docs, model: docs.mapInArrow(sizes, "doc_id long, text string, n_chars long, predicted int"))
+    got = corpus_pipeline.clean(spark, docs, "").agg(F.count("*").alias("n"), F.max("n_chars").alias("most")).first()
+    assert got["n"] == 3000 and got["most"] < 2 * storage.BATCH_BYTES
+
+
 def test_encoding_long_words_fast():
     import base64
     import time
