@@ -1,5 +1,6 @@
 """Hot keys: one time, one name, one date that very many files share, in tasks that stay small."""
 
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contactsheet.functions.numbering import running_sum, with_block
 from contactsheet.operators import dates, similar
+from contactsheet.queries import QUERIES
 
 PHOTOS = "file_id long, local_s double, utc_s double, gps_lat double, gps_lon double, size long, width int, height int, hash64 long"
 
@@ -91,3 +93,54 @@ def test_renames_of_one_date(spark):
         seen[d, t] = seen.get((d, t), 0) + 1
         base = t.replace(":", "").replace(" ", "_")
         assert got[i] == base + (f"_{seen[d, t]}" if total[d, t] > 1 else "") + ".jpg"
+
+
+def shuffled(spark):
+    """Rows that stages of this session have written for other stages so far."""
+    listed = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(listed.apply(i).shuffleWriteRecords() for i in range(listed.size()))
+
+
+def test_pairs_near_in_time_are_gated_without_a_shuffle(spark, tmp_path):
+    # An hour in which thousands of files have the same few seconds.
+    events = spark.range(4000).selectExpr("id event_id", "timestamp_ntz '2024-01-01 05:00:00' ts", "id % 50 user_id", "'x' event_type", "1e0 value", "'{}' props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(40).selectExpr("id vec_id", "transform(sequence(1, 64), i -> cast(if(hash(id, i) > 0, 1, -1) as float)) embedding", "0 label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        QUERIES["time_neighbors"](spark, str(tmp_path)).count()
+        start = shuffled(spark)
+        pairs = QUERIES["geo_gate"](spark, str(tmp_path)).collect()
+        assert len(pairs) > 300_000 and shuffled(spark) - start < 4000 * 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def metres(lat1, lon1, lat2, lon2):
+    a, b = math.radians(lat1), math.radians(lat2)
+    x = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371000 * math.atan2(math.sqrt(x), math.sqrt(1 - x))
+
+
+def test_pairs_of_tiles_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", 4)
+    monkeypatch.setattr(similar, "TILES", 3)
+    rng = random.Random(8)
+    rows = shots(rng, 250) + [(10_001 + 2 * r[0], *r[1:]) for r in shots(rng, 150, 960.0, 90.0)]
+    rows += [(50_000, float("nan"), None, 10.0, 5.0, 10, 4, 3, 0), (50_001, 1000.0, None, float("nan"), 5.0, 10, 4, 3, 0), (50_002, 1000.0, None, 370.0, 5.0, 10, 4, 3, 0), (50_003, 1000.0, None, 10.0, None, 10, 4, 3, 0)]
+    # Ids twice, within a bucket and across two, and none: never pairs of their own.
+    rows += [(60_000, 1000.0, None, None, None, 10, 4, 3, 0), (60_000, 1003.0, None, None, None, 10, 4, 3, 0), (60_001, 1009.0, None, None, None, 10, 4, 3, 0), (60_001, 1010.0, None, None, None, 10, 4, 3, 0), (None, 1001.0, None, None, None, 10, 4, 3, 0)]
+    placed = []
+    for a in rows:
+        for b in rows:
+            if a[0] is None or b[0] is None or a[0] >= b[0]:
+                continue
+            clock = 2 if a[2] is not None and b[2] is not None else 1
+            if a[clock] is None or b[clock] is None or not abs(a[clock] - b[clock]) <= 10:
+                continue
+            if None in (*a[3:5], *b[3:5]) or metres(*a[3:5], *b[3:5]) <= 100:
+                placed.append((a[0], b[0]))
+    photos = spark.createDataFrame(rows, PHOTOS)
+    assert sorted(map(tuple, similar.near_in_place(photos).collect())) == sorted(placed) and len(placed) > 30_000
