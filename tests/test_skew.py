@@ -132,7 +132,7 @@ def test_pairs_of_tiles_are_all_pairs(spark, monkeypatch):
     rows += [(50_000, float("nan"), None, 10.0, 5.0, 10, 4, 3, 0), (50_001, 1000.0, None, float("nan"), 5.0, 10, 4, 3, 0), (50_002, 1000.0, None, 370.0, 5.0, 10, 4, 3, 0), (50_003, 1000.0, None, 10.0, None, 10, 4, 3, 0)]
     # Ids twice, within a bucket and across two, and none: never pairs of their own.
     rows += [(60_000, 1000.0, None, None, None, 10, 4, 3, 0), (60_000, 1003.0, None, None, None, 10, 4, 3, 0), (60_001, 1009.0, None, None, None, 10, 4, 3, 0), (60_001, 1010.0, None, None, None, 10, 4, 3, 0), (None, 1001.0, None, None, None, 10, 4, 3, 0)]
-    placed = []
+    near, placed = [], []
     for a in rows:
         for b in rows:
             if a[0] is None or b[0] is None or a[0] >= b[0]:
@@ -140,7 +140,16 @@ def test_pairs_of_tiles_are_all_pairs(spark, monkeypatch):
             clock = 2 if a[2] is not None and b[2] is not None else 1
             if a[clock] is None or b[clock] is None or not abs(a[clock] - b[clock]) <= 10:
                 continue
+            near.append((a[0], b[0], abs(a[clock] - b[clock])))
             if None in (*a[3:5], *b[3:5]) or metres(*a[3:5], *b[3:5]) <= 100:
                 placed.append((a[0], b[0]))
     photos = spark.createDataFrame(rows, PHOTOS)
     assert sorted(map(tuple, similar.near_in_place(photos).collect())) == sorted(placed) and len(placed) > 30_000
+    assert sorted(map(tuple, similar.time_neighbors(photos).collect())) == sorted(near)
+
+
+def test_pairs_near_in_time_are_written_in_little_room(spark, tmp_path):
+    photos = spark.range(3000).selectExpr("(id * 7919) % 100003 file_id", "cast(1000 + id % 3 as double) local_s", "cast(if(id % 11 < 2, local_s - 3600, null) as double) utc_s")
+    similar.time_neighbors(photos).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 3000 * 2999 // 4
